@@ -13,6 +13,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import captures
+
+    return captures(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import classes
+
+    return classes(table(spark, sf_dir, "documents"), n_words=3, percent=90)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -31,5 +49,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_packing, op9_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc, op5_html, op6_jaccard, op7_packing, op9_quality, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
