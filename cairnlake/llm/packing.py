@@ -13,12 +13,15 @@ Sequence ids are partition * 2^40 + a count, gapless within a partition only.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,22 +29,55 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 OPEN = 64
 END = 1
-CACHE_IDS = 300_000
+CACHE_IDS = 500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+# Fixed value: the split pattern of the tokenizer file.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: What the short way takes: no blanks, marks or characters that compose.
+PLAIN = re.compile("[!-~\u00a1-\u024f]+")
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: byte -> character of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on.
+BYTE_CHARS = {**{b: chr(b) for b in PRINTABLE}, **{b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in PRINTABLE)}}
+
+
+class Pieces(dict):
+    """A lower-case piece -> its token ids."""
+
+    def __init__(self, model: object) -> None:
+        self.model = model
+
+    def __missing__(self, piece: str) -> list[int]:
+        if len(self) >= CACHE_IDS:
+            self.clear()
+        text = piece if piece.isascii() else "".join(map(BYTE_CHARS.__getitem__, piece.encode()))
+        ids = self[piece] = [t.id for t in self.model.tokenize(text)]
+        return ids
+
+
 class Ids(dict):
-    """A run of non-blanks (bytes) -> its token ids. Exact for this tokenizer: it drops white space and joins nothing across it."""
+    """A run of non-blanks (UTF-8) -> its token ids. The tokenizer drops white space and joins nothing across it.
+
+    A plain run is lower-cased and split here and only its pieces go to the model; any other goes to the tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = Pieces(self.tokenizer.model)
 
-    def __missing__(self, word: bytes) -> list[int]:
+    def __missing__(self, run: bytes) -> list[int]:
         if len(self) >= CACHE_IDS:
             self.clear()
-        ids = self[word] = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
+        word = run.decode("utf-8")
+        plain = word.isprintable() if run.isascii() else PLAIN.fullmatch(word)
+        if plain and "<|" not in word:
+            ids = [i for piece in PIECES.findall(word.lower()) for i in self.pieces[piece]]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        self[run] = ids
         return ids
 
     def of(self, text: str | None) -> np.ndarray:
@@ -50,6 +86,12 @@ class Ids(dict):
         return np.array(ids, "<u4")
 
 
+@lru_cache(1)
+def ids_for(path: str) -> Ids:
+    """One cache per worker process: tasks that follow find its words."""
+    return Ids(path)
+
+
 class Packer:
     """Pieces are (row, start, length); yields sequences, each a list of pieces."""
 
@@ -99,7 +141,7 @@ class Packer:
 
 def packed(batches: Iterable[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    ids_of, packer, context = Ids(path), Packer(), TaskContext.get()
+    ids_of, packer, context = ids_for(path), Packer(), TaskContext.get()
     sequence, held, serial = (context.partitionId() if context else 0) << 40, {}, 0
 
     def rows(pieces: list[tuple]) -> list[tuple]:
