@@ -13,12 +13,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import captures
 
     return captures(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan_once
+
+    return scan_once(table(spark, sf_dir, "documents"))
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .extract import extract
 
@@ -37,6 +49,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predict
+
+    return predict(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -49,5 +67,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op5_html, op6_jaccard, op7_packing, op9_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_secrets, op5_html, op6_jaccard, op7_packing, op8_language, op9_quality, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
