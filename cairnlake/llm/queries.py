@@ -25,6 +25,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_once
 
@@ -67,5 +73,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_secrets, op5_html, op6_jaccard, op7_packing, op8_language, op9_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_secrets, op5_html, op6_jaccard, op7_packing, op8_language, op9_quality, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
