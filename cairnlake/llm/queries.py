@@ -37,6 +37,12 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_once(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .extract import extract
 
@@ -73,5 +79,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_secrets, op5_html, op6_jaccard, op7_packing, op8_language, op9_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_secrets, op4_suffix_dedup, op5_html, op6_jaccard, op7_packing, op8_language, op9_quality, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
