@@ -17,7 +17,6 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 2048
 OPEN = 64
-END = 1
+ENDED = (1).to_bytes(4, "little")
 CACHE_IDS = 500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -43,21 +42,21 @@ BYTE_CHARS = {**{b: chr(b) for b in PRINTABLE}, **{b: chr(256 + i) for i, b in e
 
 
 class Pieces(dict):
-    """A lower-case piece -> its token ids."""
+    """A lower-case piece -> its token ids, as unsigned 32-bit little-endian bytes."""
 
     def __init__(self, model: object) -> None:
         self.model = model
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_IDS:
             self.clear()
         text = piece if piece.isascii() else "".join(map(BYTE_CHARS.__getitem__, piece.encode()))
-        ids = self[piece] = [t.id for t in self.model.tokenize(text)]
+        ids = self[piece] = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
         return ids
 
 
 class Ids(dict):
-    """A run of non-blanks (UTF-8) -> its token ids. The tokenizer drops white space and joins nothing across it.
+    """A run of non-blanks (UTF-8) -> its token ids, as such bytes. The tokenizer drops white space and joins nothing across it.
 
     A plain run is lower-cased and split here and only its pieces go to the model; any other goes to the tokenizer.
     """
@@ -68,22 +67,20 @@ class Ids(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = Pieces(self.tokenizer.model)
 
-    def __missing__(self, run: bytes) -> list[int]:
+    def __missing__(self, run: bytes) -> bytes:
         if len(self) >= CACHE_IDS:
             self.clear()
         word = run.decode("utf-8")
         plain = word.isprintable() if run.isascii() else PLAIN.fullmatch(word)
         if plain and "<|" not in word:
-            ids = [i for piece in PIECES.findall(word.lower()) for i in self.pieces[piece]]
+            ids = b"".join(map(self.pieces.__getitem__, PIECES.findall(word.lower())))
         else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         self[run] = ids
         return ids
 
     def of(self, text: str | None) -> np.ndarray:
-        ids = list(chain.from_iterable(map(self.__getitem__, text.encode("utf-8").split()))) if text else []
-        ids.append(END)
-        return np.array(ids, "<u4")
+        return np.frombuffer(b"".join([*map(self.__getitem__, text.encode("utf-8").split()), ENDED]) if text else ENDED, "<u4")
 
 
 @lru_cache(1)
