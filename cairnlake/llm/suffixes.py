@@ -26,6 +26,7 @@ empty result.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ BUCKET = 4 << 20
 LEAST = 256
 SHARDS = 4
 #: Windows that are hashed at once, so that a long text needs no long arrays.
-BLOCK = 1 << 18
+BLOCK = 1 << 15
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -73,39 +74,51 @@ def window_minima(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return joined(width - n) if width > n else (m, p)
 
 
-def runs_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, minimizer hash) of each run of a text, block by block."""
+def runs_of(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, minimizer hash) of each run of texts that lie end to end, block by block.
+
+    A window may not cross a text's end. A block's end may cut a run in two, which is harmless: both parts go to the
+    minimizer's bucket.
+    """
     starts, sizes, hashes = [], [], []
     data = np.frombuffer(raw, np.uint8)
     windows = len(data) - MATCH + 1
     for lo in range(0, windows, BLOCK):
         hi = min(windows, lo + BLOCK)
         m, p = window_minima(gram_hashes(data[lo : hi - 1 + MATCH]), MATCH - GRAM + 1)
-        first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        starts.append(first + lo)
-        sizes.append(np.diff(np.append(first, hi - lo)))
-        hashes.append(m[first])
+        fits = np.ones(hi - lo, bool)
+        inner = ends[np.searchsorted(ends, lo + 1) : np.searchsorted(ends, hi + MATCH)]
+        for e in inner.tolist():  # windows from e - MATCH + 1 to e - 1 cross it
+            fits[max(0, e - MATCH + 1 - lo) : max(0, e - lo)] = False
+        change = np.empty(hi - lo, bool)
+        change[0] = True
+        change[1:] = (p[1:] != p[:-1]) | (fits[1:] != fits[:-1])
+        first = np.flatnonzero(change)
+        n = np.diff(np.append(first, hi - lo))
+        keep = fits[first]
+        starts.append(first[keep] + lo)
+        sizes.append(n[keep])
+        hashes.append(m[first[keep]])
     if not starts:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     return np.concatenate(starts), np.concatenate(sizes), np.concatenate(hashes)
 
 
 class Cell:
-    """The texts of a cell in order of doc_id, and all their runs. A block's end may cut a run in two, which is harmless
-    as the run's windows still go to its minimizer's bucket."""
+    """The texts of a cell end to end, in order of doc_id, and all their runs."""
 
     def __init__(self, pdf: pd.DataFrame) -> None:
         pdf = pdf.sort_values(["doc_id", "text"])
         self.ids = pdf["doc_id"].to_numpy(np.int64)
-        self.raw = [t.encode("utf-8", "surrogatepass") for t in pdf["text"]]
-        found = [runs_of(x) for x in self.raw]
-        self.doc = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-        cat = lambda i, kind: np.concatenate([f[i] for f in found]) if found else np.empty(0, kind)
-        self.start, self.size, self.hash = cat(0, np.int64), cat(1, np.int64), cat(2, np.uint64)
+        texts = [t.encode("utf-8", "surrogatepass") for t in pdf["text"]]
+        self.raw, self.ends = b"".join(texts), np.cumsum([len(t) for t in texts], dtype=np.int64)
+        self.begins = self.ends - [len(t) for t in texts]
+        self.start, self.size, self.hash = runs_of(self.raw, self.ends)
+        self.doc = np.searchsorted(self.ends, self.start, side="right")
 
     def text(self, run: int) -> bytes:
         s = self.start[run]
-        return self.raw[self.doc[run]][s : s + self.size[run] + MATCH - 1]
+        return self.raw[s : s + self.size[run] + MATCH - 1]
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -161,7 +174,7 @@ def shared_minimizers(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def run_texts(buckets: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Cell and its shared minimizers -> (bucket, cell, runs, lows, sizes, texts): distinct run texts, first run, smallest id."""
+    """Cell and its shared minimizers -> (bucket, cell, runs, bits, lows, sizes, texts): distinct run texts, first run, minimizer, smallest id."""
 
     def run(key: tuple, pdf: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -176,8 +189,8 @@ def run_texts(buckets: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.
                 for r in part.tolist():  # runs are in order of doc_id: the first has the smallest
                     texts.setdefault(cell.text(r), r)
                 first = np.fromiter(texts.values(), np.int64, len(texts))
-                rows.append((b, key[0], first.astype(np.uint32).tobytes(), cell.ids[cell.doc[first]].tobytes(), np.array([len(t) for t in texts], np.uint32).tobytes(), b"".join(texts)))
-        return pd.DataFrame(rows, columns=["bucket", "cell", "runs", "lows", "sizes", "texts"])
+                rows.append((b, key[0], first.astype(np.uint32).tobytes(), low_bits(cell.hash[first]).tobytes(), cell.ids[cell.doc[first]].tobytes(), np.array([len(t) for t in texts], np.uint32).tobytes(), b"".join(texts)))
+        return pd.DataFrame(rows, columns=["bucket", "cell", "runs", "bits", "lows", "sizes", "texts"])
 
     return run
 
@@ -233,83 +246,84 @@ def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def merged_groups(bwts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' suffixes sorted by ``depth`` characters, and the group of equal prefixes at each place."""
-    z = np.repeat(np.arange(len(bwts), dtype=np.uint8), [len(b) for b in bwts])
-    g = np.zeros(len(z), np.int32)
-    source = np.concatenate(bwts)
-    # suffixes that are a text's end alone come first, shard after shard, each a group of its own
-    ended = np.flatnonzero(source == 0)
-    ends_z = z[ended]
-    chars = np.empty(len(z), np.uint8)
+    """Interleave of the shards' suffixes sorted by ``depth`` characters, and the group of equal prefixes at each place.
+
+    A place holds a suffix's number in the concatenation of the shards' own orders. Each round puts, by the character
+    before them, the suffixes that are one longer; a shard's own order never changes, only how the shards interleave.
+    """
+    longer, ended, base = [], [], 0
+    for bwt in bwts:  # where each suffix's one-longer suffix stands in its own shard
+        order = np.argsort(bwt, kind="stable")
+        to = np.empty(len(bwt), np.int32)
+        to[order] = np.arange(base, base + len(bwt), dtype=np.int32)
+        longer.append(to)
+        ended.append(np.arange(base, base + int((bwt == 0).sum()), dtype=np.int32))
+        base += len(bwt)
+    before, longer, ended = np.concatenate(bwts), np.concatenate(longer), np.concatenate(ended)
+    at, g = np.arange(base, dtype=np.int32), np.zeros(base, np.int32)
+    alone = np.arange(len(ended), dtype=np.int32)  # the ends come first, each a group of its own
     for _ in range(depth):
-        chars[np.argsort(z, kind="stable")] = source
+        chars = before[at]
         order = np.argsort(chars, kind="stable")[len(ended) :]
         c, go = chars[order], g[order]
         new = np.ones(len(order), bool)
         new[1:] = (c[1:] != c[:-1]) | (go[1:] != go[:-1])
-        z = np.concatenate([ends_z, z[order]])
-        g = np.concatenate([np.arange(len(ended), dtype=np.int32), (len(ended) - 1 + np.cumsum(new)).astype(np.int32)])
-    return z, g
+        at = np.concatenate([ended, longer[at[order]]])
+        g = np.concatenate([alone, np.cumsum(new, dtype=np.int32) + (len(ended) - 1)])
+    return at, g
 
 
-def smallest(texts: list[bytes], lows: np.ndarray) -> list[np.ndarray]:
-    """For each text the smallest low of a text that has the window, window by window."""
+def smallest(texts: list[bytes], lows: np.ndarray) -> np.ndarray:
+    """For each window of each text, end to end, the smallest low of a text that has the window."""
     shards = [list(range(i, len(texts), SHARDS)) for i in range(min(SHARDS, len(texts)))]
     made = [transform([texts[i] for i in s]) for s in shards]
-    z, g = merged_groups([m[0] for m in made], MATCH)
+    at, g = merged_groups([m[0] for m in made], MATCH)
     sizes = np.array([len(t) for t in texts])
     begin = np.concatenate([[0], np.cumsum(sizes - MATCH + 1)])
-    out = np.empty(begin[-1], np.int64)
-    low = np.full(len(z), np.iinfo(np.int64).max)
-    slot = np.full(len(z), -1, np.int64)
-    for i, (s, (_, order, of)) in enumerate(zip(shards, made)):
-        places = np.flatnonzero(z == i)
+    low, slot = [], []
+    for s, (_, order, of) in zip(shards, made):
         text = np.asarray(s)[of[order]]
-        first = np.concatenate([[0], np.cumsum(sizes[s] + 1)])[of[order]]
-        offset = order - first
+        offset = order - np.concatenate([[0], np.cumsum(sizes[s] + 1)])[of[order]]
         whole = sizes[text] - offset >= MATCH
-        low[places[whole]] = lows[text[whole]]
-        slot[places[whole]] = begin[text[whole]] + offset[whole]
-    least = np.full(int(g.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, g, low)
+        low.append(np.where(whole, lows[text], np.iinfo(np.int64).max))
+        slot.append(np.where(whole, begin[text] + offset, -1))
+    low, slot = np.concatenate(low)[at], np.concatenate(slot)[at]
+    least = np.minimum.reduceat(low, np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])))
+    out = np.empty(begin[-1], np.int64)
     whole = slot >= 0
     out[slot[whole]] = least[g[whole]]
-    return np.split(out, begin[1:-1])
+    return out
 
 
 def bucket_lows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Bucket -> (cell, runs, parts, lengths, lows): for each run text the smallest id by stretch of windows."""
     index: dict[bytes, int] = {}
     mins: list[int] = []
-    grams: dict[int, int] = {}
+    gram: list[int] = []
     rows = []
-    for cell, runs, lows, sizes, texts in zip(pdf["cell"], pdf["runs"], pdf["lows"], pdf["sizes"], pdf["texts"]):
+    for cell, runs, bits, lows, sizes, texts in zip(pdf["cell"], pdf["runs"], pdf["bits"], pdf["lows"], pdf["sizes"], pdf["texts"]):
         ends = np.cumsum(np.frombuffer(sizes, np.uint32).astype(np.int64)).tolist()
         at, which = 0, []
-        for e, low in zip(ends, np.frombuffer(lows, np.int64).tolist()):
+        for e, low, x in zip(ends, np.frombuffer(lows, np.int64).tolist(), np.frombuffer(bits, np.uint32).tolist()):
             t = texts[at:e]
             at = e
             i = index.setdefault(t, len(index))
             if i == len(mins):
                 mins.append(low)
+                gram.append(x)
             elif low < mins[i]:
                 mins[i] = low
             which.append(i)
         rows.append((cell, runs, which))
     texts_of, mins_of = list(index), np.array(mins, np.int64)
     # a text whose minimizer no other text has needs no comparison
-    gram = [own_gram(t) for t in texts_of]
-    for x in gram:
-        grams[x] = grams.get(x, 0) + 1
+    grams = Counter(gram)
     mixed = [i for i, x in enumerate(gram) if grams[x] > 1]
     stretches: dict[int, list[tuple[int, int]]] = {}
-    nul = [i for i in mixed if b"\0" in texts_of[i]]
-    for group in (mixed,) if not nul else ():
-        if len(group) > 1:
-            for i, low in zip(group, smallest([texts_of[j] for j in group], mins_of[group])):
-                stretches[i] = stretched(low)
-    if nul:
-        stretches = {i: stretched(low) for i, low in zip(mixed, by_table([texts_of[j] for j in mixed], mins_of[mixed]))}
+    if len(mixed) > 1:
+        some = [texts_of[i] for i in mixed]
+        low = (by_table if any(b"\0" in t for t in some) else smallest)(some, mins_of[mixed])
+        stretches = dict(zip(mixed, stretched(low, np.array([len(t) - MATCH + 1 for t in some]))))
     out = []
     for cell, runs, which in rows:
         told = [stretches.get(i) or [(len(texts_of[i]) - MATCH + 1, int(mins_of[i]))] for i in which]
@@ -318,14 +332,7 @@ def bucket_lows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["cell", "runs", "parts", "lengths", "lows"])
 
 
-def own_gram(text: bytes) -> bytes:
-    """The minimizer of a run text: of its first window, as all its windows have the same one."""
-    data = np.frombuffer(text[:MATCH], np.uint8)
-    p = int(gram_hashes(data).argmin())
-    return text[p : p + GRAM]
-
-
-def by_table(texts: list[bytes], lows: np.ndarray) -> list[np.ndarray]:
+def by_table(texts: list[bytes], lows: np.ndarray) -> np.ndarray:
     """The same as ``smallest`` for texts with 0 bytes, which would pass for ends: a table of the windows themselves."""
     least: dict[bytes, int] = {}
     for t, low in zip(texts, lows.tolist()):
@@ -333,12 +340,18 @@ def by_table(texts: list[bytes], lows: np.ndarray) -> list[np.ndarray]:
             w = t[i : i + MATCH]
             if least.get(w, low) >= low:
                 least[w] = low
-    return [np.array([least[t[i : i + MATCH]] for i in range(len(t) - MATCH + 1)], np.int64) for t in texts]
+    return np.array([least[t[i : i + MATCH]] for t in texts for i in range(len(t) - MATCH + 1)], np.int64)
 
 
-def stretched(low: np.ndarray) -> list[tuple[int, int]]:
-    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    return list(zip(np.diff(np.append(first, len(low))).tolist(), low[first].tolist()))
+def stretched(low: np.ndarray, windows: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Each text's (windows, smallest id) by stretch, from all texts' windows end to end."""
+    begins = np.concatenate([[0], np.cumsum(windows)[:-1]])
+    change = np.concatenate([[True], low[1:] != low[:-1]])
+    change[begins] = True
+    first = np.flatnonzero(change)
+    pairs = list(zip(np.diff(np.append(first, len(low))).tolist(), low[first].tolist()))
+    cuts = [*np.searchsorted(first, begins).tolist(), len(pairs)]
+    return [pairs[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -364,16 +377,17 @@ def digests(key: tuple, pdf: pd.DataFrame, lows: pd.DataFrame) -> pd.DataFrame:
             told[cell.text(r)] = pairs[at:e]
             at = e
     cover: dict[int, list[tuple[int, int]]] = {}
+    ids, begins, ends = cell.ids.tolist(), cell.begins.tolist(), cell.ends.tolist()
     for r in np.flatnonzero(np.isin(cell.hash, cell.hash[np.concatenate(firsts)])).tolist():
-        d, at = int(cell.doc[r]), int(cell.start[r])
-        own = cell.ids[d]
+        d = int(cell.doc[r])
+        own, at = ids[d], int(cell.start[r]) - begins[d]
         for n, low in told.get(cell.text(r), ()):
             if low < own:
                 cover.setdefault(d, []).append((at, at + n - 1 + MATCH))
             at += n
     out = []
-    for d, raw in enumerate(cell.raw):
-        doc = int(cell.ids[d])
+    for d, doc in enumerate(ids):
+        raw = cell.raw[begins[d] : ends[d]]
         if d not in cover:
             out.append(whole(doc, raw))
             continue
@@ -404,7 +418,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     by_cell = named.groupBy("cell")
     seen = by_cell.applyInPandas(minimizers(buckets), "bucket long, cell long, bits binary, many binary")
     shared = seen.groupBy("bucket").applyInPandas(shared_minimizers, "cell long, bucket long, bits binary")
-    texts = by_cell.cogroup(shared.groupBy("cell")).applyInPandas(run_texts(buckets), "bucket long, cell long, runs binary, lows binary, sizes binary, texts binary")
+    texts = by_cell.cogroup(shared.groupBy("cell")).applyInPandas(run_texts(buckets), "bucket long, cell long, runs binary, bits binary, lows binary, sizes binary, texts binary")
     lows = texts.groupBy("bucket").applyInPandas(bucket_lows, "cell long, runs binary, parts binary, lengths binary, lows binary")
     out = by_cell.cogroup(lows.groupBy("cell")).applyInPandas(digests, DIGEST)
     size_of = F.octet_length("text").cast("long")
