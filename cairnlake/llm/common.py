@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,10 +30,26 @@ def fresh(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write and read again: lineage ends at files that outlive any executor."""
-    path = fresh(df.sparkSession, what)
+    """Write and read again: lineage ends at files that outlive any executor.
+
+    Shuffle files of what was written are of no more use. Spark drops them when the driver's garbage collector finds
+    their handles gone, so it is asked to look now rather than in its own time.
+    """
+    spark, path = df.sparkSession, fresh(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has written and nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.cut_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,10 +94,12 @@ def shingles(text: str | None, n: int, cache: WordHashes) -> np.ndarray:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) long -> (id, component): the smallest id that links reach, for every id of an edge.
 
-    Alternating large-star and small-star steps; each ends in a written table, the driver sees one count a round.
+    Alternating large-star and small-star steps, each written; the driver sees a count and two checksums a round.
     Links of a hub are dealt with as rows of an aggregation, never as one collected group.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    seal = lambda t: t.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+    last = seal(e)
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -88,9 +107,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         new = cut(small, "edges")
-        same = e.exceptAll(new).isEmpty() and new.exceptAll(e).isEmpty()
-        e = new
-        if same:
+        release(e)
+        e, was, last = new, last, seal(new)
+        if was == last:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -31,12 +31,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, cut, shingles
+from .common import WordHashes, components, cut, release, shingles
 
 RARE = 32
 FREQUENT = 200_000
 SLACK = 16
 COMBINE = 60
+#: Candidate ids are broadcast up to this many, counted first; beyond that the join is shuffled.
+BROADCAST_NODES = 500_000
 SIG = "doc_id long, n long, sid binary, head array<long>"
 
 
@@ -106,14 +108,13 @@ def index(reps: DataFrame, common: DataFrame, percent: int) -> DataFrame:
 
 def rare_pairs(idx: DataFrame, percent: int) -> DataFrame:
     """(a, b) that share a rare prefix token and whose sizes and prefixes leave a link possible."""
-    rows = idx.select(F.explode("rare").alias("k"), "node", "n", "f", (F.col("n") - F.col("reach")).alias("beyond"))
-    x = rows.select("k", *[F.col(c).alias(f"{c}_a") for c in rows.columns[1:]])
-    y = rows.select("k", *[F.col(c).alias(f"{c}_b") for c in rows.columns[1:]])
-    pairs = x.join(y, "k").where((F.col("node_a") < F.col("node_b")) & sizes_fit("n_a", "n_b", percent))
-    first = lambda c: F.max(c).alias(c)
-    met = pairs.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("met"), *[first(f"{c}_{s}") for c in ("n", "f", "beyond") for s in "ab"])
-    most = F.col("met") + F.least("f_a", "f_b") + F.greatest("beyond_a", "beyond_b")
-    return met.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    rows = idx.select(F.explode("rare").alias("k"), "node", F.col("n").cast("int"), F.col("f").cast("int"), (F.col("n") - F.col("reach")).cast("int").alias("beyond"))
+    x, y = rows.alias("x"), rows.alias("y")  # one exchange serves both sides
+    pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.node") < F.col("y.node")) & sizes_fit("x.n", "y.n", percent))
+    of = [F.max(f"{s}.{c}").alias(f"{c}_{s}") for c in ("n", "f", "beyond") for s in "xy"]
+    met = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("met"), *of)
+    most = F.col("met") + F.least("f_x", "f_y") + F.greatest("beyond_x", "beyond_y")
+    return met.where((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y"))).select("a", "b")
 
 
 def frequent_rows(idx: DataFrame, percent: int) -> DataFrame:
@@ -145,14 +146,16 @@ def classes(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = cut(docs.mapInPandas(lambda it: signatures(it, n_words, percent), SIG), "sets")
     whole = sig.where("doc_id IS NOT NULL AND n > 0")
-    same = whole.groupBy("sid", "n").agg(F.min("doc_id").alias("node")).select(F.col("sid").alias("sid_of"), "node")
-    reps = cut(whole.join(same, (F.col("doc_id") == F.col("node")) & (F.col("sid") == F.col("sid_of"))).select("node", "n", "head", "sid").dropDuplicates(["node", "sid"]).drop("sid"), "nodes")
-    idx = cut(index(reps, frequent_tokens(reps, percent), percent), "index")
+    reps = cut(whole.groupBy("sid", "n").agg(F.min("doc_id").alias("node"), F.first("head").alias("head")), "nodes")
+    same = reps.select(F.col("sid").alias("sid_of"), "node")
+    idx = cut(index(reps.select("node", "n", "head"), frequent_tokens(reps, percent), percent), "index")
     pairs = cut(rare_pairs(idx, percent), "pairs")
     often = cut(frequent_rows(idx, percent), "often")
+    release(idx)
     low = often.groupBy("k", "l").agg(F.min(F.struct("node", "n")).alias("low")).select("k", "l", "low.node", "low.n").toDF("k", "l", "x", "nx")
     stars = often.join(low, ["k", "l"]).where((F.col("node") != F.col("x")) & sizes_fit("n", "nx", percent)).select(*ordered("node", "x"))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(often.select("node")).distinct()
+    nodes = F.broadcast(nodes) if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else nodes
     texts = docs.join(nodes, F.col("doc_id") == F.col("node")).select("node", "text")
     sets = cut(texts.mapInPandas(lambda it: packed_sets(it, n_words), "node long, tokens binary").dropDuplicates(["node", "tokens"]), "tokens")
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars).distinct()
@@ -161,6 +164,7 @@ def classes(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
     of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = cut(verified(left.union(crossing(often, labels, percent)).distinct(), sets, percent), "links")
+    release(sets, pairs, often)
     copies = whole.join(same, F.col("sid") == F.col("sid_of")).where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     if not more.isEmpty():
         labels = components(links.union(more))
