@@ -7,6 +7,8 @@ ranks. Only greedy choices run in Python, by query, over a pool whose size is a
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -38,23 +40,39 @@ def query_terms(queries: DataFrame, terms: Column) -> DataFrame:
     return queries.select("query_id", F.explode(terms).alias("term"))
 
 
-def containment(records: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, record, in0, in1, in2) for records that contain a term; the distinct terms are few and go to the records."""
-    words = terms.select("term").distinct()
-    flat = words.agg(F.collect_list("term").alias("terms"))
-    hit = fields(records).crossJoin(F.broadcast(flat)).withColumn("term", F.explode(F.filter("terms", lambda t: F.col("f0").contains(t) | F.col("f1").contains(t) | F.col("f2").contains(t))))
-    return hit.select("term", "record_type", "ref_id", *[F.col(f"f{i}").contains(F.col("term")).alias(f"in{i}") for i in range(3)])
+RUN = r"[a-z0-9._-]{2,}|[一-鿿]{2,}"
 
 
-def substring_channel(records: DataFrame, terms: DataFrame) -> DataFrame:
-    """Sum over terms of ln(1 + (n + 1) / (df + 1)) * min(length, 6) * field boosts; df and n over these records."""
-    hits = containment(records, terms)
-    n = records.agg(F.count("*").alias("n"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    boost = reduce(lambda a, b: a + b, [F.col(f"in{i}").cast("double") * w for i, w in enumerate(FIELD_BOOSTS)])
-    weight = F.log(1.0 + (F.col("n") + 1.0) / (F.col("df") + 1.0)) * F.least(F.length("term"), F.lit(TERM_CAP))
-    scored = hits.withColumn("boost", boost).join(df, "term").crossJoin(F.broadcast(n)).withColumn("s", weight * F.col("boost"))
-    return terms.join(scored, "term").groupBy(*KEY).agg(F.round(F.sum("s"), 6).alias("score")).withColumn("channel", F.lit("substring"))
+def postings(records: DataFrame) -> DataFrame:
+    """(record_type, ref_id, field, run, c): how often each maximal run of term characters stands in a field.
+
+    A term is made of characters of one class, so it occurs in a text where it occurs in such a run; texts are read
+    once, and terms are held against the distinct runs only.
+    """
+    runs = F.array(*[F.struct(F.lit(i).alias("field"), tx.found(F.col(f"f{i}"), RUN).alias("runs")) for i in range(3)])
+    rows = fields(records).select("record_type", "ref_id", F.explode(runs).alias("r")).select("record_type", "ref_id", "r.field", F.explode("r.runs").alias("run"))
+    return rows.groupBy("record_type", "ref_id", "field", "run").agg(F.count("*").alias("c"))
+
+
+def term_hits(posted: DataFrame, terms: DataFrame) -> DataFrame:
+    """(record_type, ref_id, field, term, c, occ) where a run holds a term, overlapping occurrences counted.
+
+    The distinct runs go once through an automaton of the queries' terms, whose number the queries bound.
+    """
+    words = [r.term for r in terms.select("term").distinct().toLocalIterator()]
+
+    def match(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for pdf in batches:
+            found = [(run, t, n) for run in pdf["run"] for t, n in Counter(t for _, t in automaton.iter(run)).items()] if words else []
+            yield pd.DataFrame(found, columns=["run", "term", "occ"])
+
+    return posted.join(posted.select("run").distinct().mapInPandas(match, "run string, term string, occ long"), "run")
 
 
 def occurrences(field: Column, term: Column) -> Column:
@@ -62,31 +80,38 @@ def occurrences(field: Column, term: Column) -> Column:
     return F.regexp_count(field, F.concat(F.lit(r"(?=\Q"), term, F.lit(r"\E)")))
 
 
+def substring_channel(records: DataFrame, terms: DataFrame) -> DataFrame:
+    """Sum over terms of ln(1 + (n + 1) / (df + 1)) * min(length, 6) * field boosts; df and n over these records."""
+    boost = reduce(lambda a, b: a + b, [F.max((F.col("field") == i).cast("double")) * w for i, w in enumerate(FIELD_BOOSTS)])
+    hits = term_hits(postings(records), terms).groupBy("term", "record_type", "ref_id").agg(boost.alias("boost"))
+    n = records.agg(F.count("*").alias("n"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    weight = F.log(1.0 + (F.col("n") + 1.0) / (F.col("df") + 1.0)) * F.least(F.length("term"), F.lit(TERM_CAP))
+    weights = df.crossJoin(F.broadcast(n)).select("term", weight.alias("w")).join(terms, "term")
+    return hits.join(F.broadcast(weights), "term").groupBy(*KEY).agg(F.round(F.sum(F.col("w") * F.col("boost")), 6).alias("score")).withColumn("channel", F.lit("substring"))
+
+
 def bm25_channel(corpus: DataFrame, terms: DataFrame, eligible: DataFrame | None = None) -> DataFrame:
     """Trigram BM25 with column weights; statistics over the whole corpus, output restricted to eligible records."""
-    rows = fields(corpus)
     length = reduce(lambda a, b: a + b, [F.greatest(F.length(f"f{i}") - 2, F.lit(0)) for i in range(3)])
-    rows = rows.withColumn("d", length)
-    stats = rows.agg(F.count("*").alias("n"), F.avg("d").alias("avg_d"))
-    flat = terms.where(F.length("term") >= 3).select("term").distinct().agg(F.collect_list("term").alias("terms"))
-    hit = rows.crossJoin(F.broadcast(flat)).withColumn("term", F.explode(F.filter("terms", lambda t: F.col("f0").contains(t) | F.col("f1").contains(t) | F.col("f2").contains(t))))
-    f = reduce(lambda a, b: a + b, [F.when(F.col(f"f{i}").contains(F.col("term")), occurrences(F.col(f"f{i}"), F.col("term"))).otherwise(0) * w for i, w in enumerate(BM25_WEIGHTS)])
-    hit = hit.select("term", "record_type", "ref_id", "d", f.alias("f"))
+    sizes = fields(corpus).select("record_type", "ref_id", length.alias("d"))
+    stats = sizes.agg(F.count("*").alias("n"), F.avg("d").alias("avg_d"))
+    long_terms = terms.where(F.length("term") >= 3)
+    weight = F.element_at(F.array(*[F.lit(w) for w in BM25_WEIGHTS]), F.col("field") + 1)
+    hit = term_hits(postings(corpus), long_terms).groupBy("term", "record_type", "ref_id").agg(F.sum(weight * F.col("c") * F.col("occ")).alias("f"))
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(raw > 0, raw).otherwise(1e-6)
-    part = idf * F.col("f") * (BM25_K1 + 1) / (F.col("f") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("d") / F.col("avg_d")))
-    scored = hit.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("s", part)
+    weights = df.crossJoin(F.broadcast(stats)).select("term", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"), "avg_d").join(long_terms, "term")
+    part = F.col("idf") * F.col("f") * (BM25_K1 + 1) / (F.col("f") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("d") / F.col("avg_d")))
+    scored = hit.join(sizes, ["record_type", "ref_id"])
     if eligible is not None:
-        scored = scored.join(eligible, ["record_type", "ref_id"], "left_semi")
-    return terms.join(scored, "term").groupBy(*KEY).agg(F.round(F.sum("s"), 6).alias("score")).withColumn("channel", F.lit("bm25"))
+        scored = scored.join(eligible.select("record_type", "ref_id"), ["record_type", "ref_id"], "left_semi")
+    return scored.join(F.broadcast(weights), "term").groupBy(*KEY).agg(F.round(F.sum(part), 6).alias("score")).withColumn("channel", F.lit("bm25"))
 
 
 def vector_channel(records: DataFrame, queries: DataFrame, floor: float = NGRAM_FLOOR, channel: str = "ngram", inclusive: bool = True) -> DataFrame:
     """Dot products of vectors against a bounded set of queries, which goes to the records as one matrix."""
-    from pyspark.sql.functions import broadcast
-
-    pairs = records.select("record_type", "ref_id", F.col("vector").alias("v")).crossJoin(broadcast(queries.select("query_id", F.col("vector").alias("q"))))
+    pairs = records.select("record_type", "ref_id", F.col("vector").alias("v")).crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("q"))))
     score = F.round(tx.dot(F.col("v"), F.col("q")), 6)
     scored = pairs.select(*KEY, score.alias("score"))
     return scored.where((F.col("score") >= floor) if inclusive else (F.col("score") > floor)).withColumn("channel", F.lit(channel))
