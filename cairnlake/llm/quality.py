@@ -6,7 +6,7 @@ that pass the base rules. A document is rejected where the Jensen-Shannon distan
 base 2, 0 to 1) to its reference exceeds a limit, unless it is too short for its histogram to mean anything.
 
 Defined cases: null text has no words, so base_failed; null or unlisted lang is held against the pooled reference
-OTHER; extra columns are carried by nothing but ``judge``; repeated rows are judged one by one; an empty table
+OTHER; other columns are passed on by ``keep`` alone; repeated rows are judged one by one; an empty table
 gives an empty result.
 """
 
@@ -15,11 +15,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from .common import cut
 
@@ -33,6 +32,8 @@ COMMON = {
 OTHER = "other"
 MIN_WORDS = 50
 MIN_WORDS_JS = 80
+#: Rows of a batch that are worked on at once.
+SLICE = 500
 MAX_CHAR_JS = 0.25
 MAX_WORD_JS = 0.29
 
@@ -103,61 +104,91 @@ def measure(text: str | None, lang: str | None) -> tuple:
     )
 
 
-@pandas_udf(FEATURES)
-def features(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for text, lang in texts:
-        yield pd.DataFrame([measure(t, g) for t, g in zip(text, lang)], columns=[*COUNTS, *HISTOGRAMS])
+def measured(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The measures of each row's text, one text in Python at a time."""
+    at = batch.schema.names.index
+    for text, lang in zip(batch.column(at("text")), batch.column(at("lang"))):
+        yield measure(text.as_py(), lang.as_py())
 
 
-def base_failed(q: str) -> Column:
-    n = F.col(f"{q}.n_words")
-    return (n < MIN_WORDS) | (100 * F.col(f"{q}.n_repeat_words") > 50 * n)
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id, lang and the measures of each row; one row in, one row out."""
+    names = [f.name for f in FEATURES.fields]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), *FEATURES.fields])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                columns = list(zip(*measured(part)))
+                kinds = [pa.int64()] * len(COUNTS) + [pa.list_(pa.int64())] * len(HISTOGRAMS)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["doc_id", "lang", *names])
 
-def language(lang: Column) -> Column:
-    return F.when(lang.isin(*COMMON), lang).otherwise(F.lit(OTHER))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(run, schema)
 
 
-def references(feats: DataFrame) -> DataFrame:
-    """(ref_lang, ref_chars, ref_common) from rows (lang, q): a row for each listed language and OTHER, no more."""
-    sums = [F.sum(F.col("q.chars")[i]).alias(f"c{i}") for i in range(N_CLASSES)] + [F.sum(F.col("q.common")[i]).alias(f"w{i}") for i in range(WIDTH)]
-    return (
-        feats.where(~base_failed("q"))
-        .groupBy(language(F.col("lang")).alias("ref_lang"))
-        .agg(*sums)
-        .select("ref_lang", F.array(*[f"c{i}" for i in range(N_CLASSES)]).alias("ref_chars"), F.array(*[f"w{i}" for i in range(WIDTH)]).alias("ref_common"))
-    )
+def base_failed(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < MIN_WORDS or 100 * n_repeat_words > 50 * n_words
 
 
-def distance(a: str, b: str) -> Column:
-    """Jensen-Shannon distance of two histograms; 0 where either is empty or missing."""
-    total = lambda x: f"aggregate({x}, 0D, (s, v) -> s + v)"
-    part = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0D END"
-    return F.expr(
-        f"CASE WHEN {total(a)} > 0 AND {total(b)} > 0 THEN sqrt(greatest(0D, 0.5D * aggregate(zip_with("
-        f"transform({a}, v -> v / {total(a)}), transform({b}, v -> v / {total(b)}), "
-        f"(x, y) -> {part('x', 'y')} + {part('y', 'x')}), 0D, (s, v) -> s + v))) ELSE 0D END"
-    )
+def references(feats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """language -> (character classes, common words) summed over its documents that pass the base rules.
+
+    One row for each listed language and OTHER comes to the driver, no more.
+    """
+    lang = F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise(F.lit(OTHER)).alias("ref")
+    sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(N_CLASSES)] + [F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(WIDTH)]
+    sound = feats.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words")))
+    return {r[0]: (np.array(r[1 : 1 + N_CLASSES], float), np.array(r[1 + N_CLASSES :], float)) for r in sound.groupBy(lang).agg(*sums).collect()}
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> float:
+    """Jensen-Shannon distance of two histograms; 0 where either is empty."""
+    if not a.sum() or not b.sum():
+        return 0.0
+    a, b = a / a.sum(), b / b.sum()
+    m = (a + b) / 2
+    part = lambda x: float((x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum())
+    return max(0.0, (part(a) + part(b)) / 2) ** 0.5
 
 
-def judged(feats: DataFrame, refs: DataFrame) -> DataFrame:
-    """Rows with columns lang and q get base_failed, char_js, word_js, kept. refs has at most one row a language."""
-    df = feats.withColumn("ref_lang", language(F.col("lang"))).join(F.broadcast(refs), "ref_lang", "left")
-    df = df.withColumn("base_failed", base_failed("q")).withColumn("char_js", distance("q.chars", "ref_chars")).withColumn("word_js", distance("q.common", "ref_common"))
-    strange = (F.col("q.n_words") >= MIN_WORDS_JS) & ((F.col("char_js") > MAX_CHAR_JS) | (F.col("word_js") > MAX_WORD_JS))
-    return df.withColumn("kept", ~F.col("base_failed") & ~strange)
+def judge(m: tuple, lang: str | None, refs: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[bool, bool, float, float]:
+    """(base_failed, kept, char_js, word_js) of measures; the one verdict of the query and of the pipeline."""
+    failed = base_failed(m[0], m[4])
+    ref = refs.get(lang if lang in COMMON else OTHER)
+    char_js, word_js = (distance(np.array(x, float), r) for x, r in zip(m[5:7], ref)) if ref else (0.0, 0.0)
+    strange = m[0] >= MIN_WORDS_JS and (char_js > MAX_CHAR_JS or word_js > MAX_WORD_JS)
+    return failed, not failed and not strange, char_js, word_js
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """One row per document with the base counts, the distances and the verdict."""
-    feats = cut(docs.select("doc_id", "lang", features(F.col("text"), F.col("lang")).alias("q")), "quality")
-    return judged(feats, references(feats)).select(
-        "doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "base_failed", "kept", F.round("char_js", 6).alias("char_js"), F.round("word_js", 6).alias("word_js")
-    )
+    """One row per document with the base counts, the verdict and the distances."""
+    feats = cut(features(docs), "quality")
+    refs = references(feats)
+    names = ["doc_id", *COUNTS, "base_failed", "kept", "char_js", "word_js"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                rows = [judge(tuple(c[k].as_py() for c in part.columns[2:]), part.column(1)[k].as_py(), refs) for k in range(part.num_rows)]
+                failed, kept, char_js, word_js = zip(*rows)
+                told = [pa.array(failed), pa.array(kept), pa.array([round(x, 6) for x in char_js]), pa.array([round(x, 6) for x in word_js])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2 : 2 + len(COUNTS)], *told], names)
+
+    return feats.mapInArrow(run, ", ".join(f"{c} long" for c in names[:6]) + ", base_failed boolean, kept boolean, char_js double, word_js double")
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns. No document is shuffled: the references are a few rows."""
-    feats = cut(docs.select("lang", features(F.col("text"), F.col("lang")).alias("q")), "quality")
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("lang"), features(F.col("text"), F.col("lang")).alias("q"))
-    return judged(row, references(feats)).where("kept").select("row.*")
+    refs = references(cut(features(docs), "quality"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.names.index("lang")
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                mask = [judge(m, lang.as_py(), refs)[1] for m, lang in zip(measured(part), part.column(at))]
+                yield part.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
