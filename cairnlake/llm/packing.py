@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 OPEN = 64
 ENDED = (1).to_bytes(4, "little")
-CACHE_IDS = 500_000
+CACHE_IDS = 250_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -83,12 +82,6 @@ class Ids(dict):
         return np.frombuffer(b"".join([*map(self.__getitem__, text.encode("utf-8").split()), ENDED]) if text else ENDED, "<u4")
 
 
-@lru_cache(1)
-def ids_for(path: str) -> Ids:
-    """One cache per worker process: tasks that follow find its words."""
-    return Ids(path)
-
-
 class Packer:
     """Pieces are (row, start, length); yields sequences, each a list of pieces."""
 
@@ -138,7 +131,7 @@ class Packer:
 
 def packed(batches: Iterable[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    ids_of, packer, context = ids_for(path), Packer(), TaskContext.get()
+    ids_of, packer, context = Ids(path), Packer(), TaskContext.get()
     sequence, held, serial = (context.partitionId() if context else 0) << 40, {}, 0
 
     def rows(pieces: list[tuple]) -> list[tuple]:
@@ -165,6 +158,8 @@ def packed(batches: Iterable[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]
                 done += rows(pieces)
         yield frame(done, names)
     yield frame([x for pieces in packer.rest() for x in rows(pieces)], names)
+    ids_of.pieces.clear()  # the worker lives on
+    ids_of.clear()
 
 
 def frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
