@@ -88,13 +88,13 @@ SELECT page_id, octet_length(b)::BIGINT payload_bytes,
  array_to_string([('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')[((('0x'||substr(h,(5*i)//4+1,3))::INT >> (7-(5*i)%4)) & 31)+1] for i in range(0,32)], '') payload_digest,
  CASE WHEN page_id=top THEN 'response' ELSE 'revisit' END record_type, CASE WHEN page_id<>top THEN top END refers_to FROM h"""
 
-OP4 = """WITH b AS (SELECT doc_id, encode(coalesce(text,'')) t FROM documents), x AS (SELECT doc_id, hex(t) h, octet_length(t)::BIGINT n FROM b),
-w AS (SELECT doc_id, i, substr(h, 2*i+1, 100) g FROM (SELECT doc_id, h, unnest(range(0, greatest(n-49,0))) i FROM x)),
+OP4 = """WITH b AS (SELECT doc_id, encode(coalesce(text,'')) t FROM documents), x AS (SELECT doc_id, t, octet_length(t)::BIGINT n FROM b),
+w AS (SELECT doc_id, i, t[i+1:i+50] g FROM (SELECT doc_id, t, unnest(range(0, greatest(n-49,0))) i FROM x)),
 m AS (SELECT g, min(doc_id) lo FROM w GROUP BY g), c AS (SELECT doc_id, i FROM w JOIN m USING (g) WHERE lo<doc_id),
 k AS (SELECT doc_id, i, sum(CASE WHEN i <= prev+50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) k FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) prev FROM c)),
 s AS (SELECT doc_id, min(i) a, max(i)+50 e FROM k GROUP BY doc_id, k),
 z AS (SELECT doc_id, a, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a),0) f FROM (SELECT doc_id, a, e FROM s UNION ALL SELECT doc_id, n, n+1 FROM x)),
-q AS (SELECT z.doc_id, string_agg(substr(h, 2*f+1, 2*(a-f)), '' ORDER BY a) kept FROM z JOIN x USING (doc_id) GROUP BY 1)
+q AS (SELECT z.doc_id, string_agg(CASE WHEN a>f THEN hex(t[f+1:a]) ELSE '' END, '' ORDER BY a) kept FROM z JOIN x USING (doc_id) GROUP BY 1)
 SELECT x.doc_id, n n_bytes, coalesce(r,0)::BIGINT n_removed, coalesce(cnt,0)::BIGINT n_spans, sha256(unhex(kept)) kept_sha256
 FROM x JOIN q USING (doc_id) LEFT JOIN (SELECT doc_id, sum(e-a) r, count(*) cnt FROM s GROUP BY 1) USING (doc_id)"""
 
