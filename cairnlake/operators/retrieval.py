@@ -168,6 +168,25 @@ def search(queries: DataFrame, records: DataFrame, corpus: DataFrame | None = No
     return final_order(bonuses(fused, queries, records), limit)
 
 
+def search_legacy(queries: DataFrame, records: DataFrame, limit: int = 6) -> DataFrame:
+    """The older profile: at most twelve chunks of three characters or more, BM25 alone, no substring channel."""
+    return final_order(bonuses(fuse([bm25_channel(records, query_terms(queries, tx.legacy_terms(F.col("query"))))]), queries, records), limit)
+
+
+def expansions(queries: DataFrame, extra: DataFrame, records: DataFrame) -> list[DataFrame]:
+    """Channels of query expansions (query_id, expansion): each is one more wording of its query, under its own label."""
+    terms = extra.select("query_id", F.explode(tx.lexical_terms(F.col("expansion"))).alias("term")).distinct()
+    return [c.withColumn("channel", F.concat(F.lit("expansion-"), "channel")) for c in (bm25_channel(records, terms.where(F.length("term") >= 3)), substring_channel(records, terms))]
+
+
+def session_view_channel(messages: DataFrame, terms: DataFrame) -> DataFrame:
+    """Substring channel over the views of messages; a view stands for the message in its middle."""
+    views = session_views(messages).where("view <> ''")
+    none = F.array().cast("array<string>")
+    rows = views.select(F.lit("event").alias("record_type"), "ref_id", F.lit("").alias("title"), none.alias("tags"), F.col("view").alias("body"))
+    return substring_channel(rows, terms).withColumn("channel", F.lit("session-view"))
+
+
 def pool(scored: DataFrame, limit: int) -> DataFrame:
     return scored.where(F.col("position") <= max(POOL_FACTOR * limit, POOL_LEAST))
 
@@ -291,7 +310,7 @@ def entity_expand(hits: DataFrame, records: DataFrame, links: DataFrame, hops: i
 def alias_expand(queries: DataFrame, aliases: DataFrame, cap: int = 12) -> DataFrame:
     """Adds canonical names whose alias the query contains (whole words, unless it ends in CJK) and that it lacks."""
     q, a = F.lower("query"), F.lower("alias")
-    quoted = F.concat(F.lit(r"(?<![\w])\Q"), a, F.lit(r"\E(?![\w])"))
+    quoted = F.concat(F.lit(r"(?U)(?<![\w])\Q"), a, F.lit(r"\E(?![\w])"))
     match = F.when(a.rlike("[一-鿿]+$"), q.contains(a)).otherwise(F.regexp_like(q, quoted)) & ~q.contains(F.lower("canonical_name"))
     found = queries.join(F.broadcast(aliases), match).groupBy("query_id").agg(F.slice(F.sort_array(F.collect_set("canonical_name")), 1, cap).alias("added"))
     return queries.join(found, "query_id", "left").withColumn("expanded", F.when(F.col("added").isNull(), F.col("query")).otherwise(F.concat_ws(" ", F.col("query"), F.array_join("added", " "))))

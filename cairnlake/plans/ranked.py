@@ -167,3 +167,56 @@ def win09(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("o_totalprice"), "o_orderkey")
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), F.lit("event").alias("record_type"), F.col("o_orderkey").cast("string").alias("ref_id"), "o_totalprice", "o_orderkey").withColumn("position", F.row_number().over(w))
     return rt.compose(o.where("position <= 8"), o.where("position > 8"), 8, ["position"]).select("query_id", "ref_id", "slot")
+
+
+@query("ret02_legacy")
+def ret02(spark: SparkSession, sf: str) -> DataFrame:
+    return rt.search_legacy(d.queries(spark, sf), d.records(spark, sf)).select("query_id", "position", "ref_id", "score")
+
+
+@query("ret04_expansions")
+def ret04(spark: SparkSession, sf: str) -> DataFrame:
+    """The recall template as an expansion of each query, fused with the query's own channel."""
+    qs, recs = d.queries(spark, sf), d.records(spark, sf)
+    extra = qs.select("query_id", tx.recall_template(F.col("query")).alias("expansion"))
+    own = rt.substring_channel(recs, rt.query_terms(qs, tx.lexical_terms(F.col("query"))))
+    return rt.fuse([own, *rt.expansions(qs, extra, recs)]).select("query_id", "ref_id", "fused", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("ret06_session_views")
+def ret06(spark: SparkSession, sf: str) -> DataFrame:
+    terms = rt.query_terms(d.queries(spark, sf), tx.lexical_terms(F.col("query")))
+    return rt.ranked(rt.session_view_channel(d.messages(spark, sf), terms)).select("query_id", "ref_id", "score", "rank")
+
+
+@query("pas08_search")
+def pas08(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import passages
+
+    return passages.search(d.queries(spark, sf), d.records(spark, sf))
+
+
+@query("win05_per_parent", "WITH a AS (SELECT event_type, user_id, event_id, value, row_number() OVER (PARTITION BY event_type, user_id ORDER BY value DESC, event_id) n FROM events), b AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) r FROM a WHERE n<=2) SELECT event_type query_id, user_id parent_id, event_id passage_id, r::INT AS rank FROM b WHERE r<=160")
+def win05(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.passages import per_parent
+
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("query_id"), F.col("user_id").alias("parent_id"), F.col("event_id").alias("passage_id"), F.col("value").alias("score"))
+    return per_parent(rows).select("query_id", "parent_id", "passage_id", "rank")
+
+
+@query("top11_near_duplicates", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] v FROM embeddings), s AS (SELECT p.vec_id probe_id, f.vec_id fact_id, round(list_dot_product(p.v,f.v),6) similarity FROM e p JOIN e f ON p.label=f.label WHERE p.vec_id%50=0 AND f.vec_id%50<>0)
+SELECT probe_id, fact_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY similarity DESC, fact_id) n FROM s WHERE similarity>=0.1) WHERE n=1""")
+def top11(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.memory import near_duplicates
+
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), F.col("embedding").alias("vector"))
+    return near_duplicates(e.where(F.col("id") % 50 == 0), e.where(F.col("id") % 50 != 0), 0.1)
+
+
+@query("joi06_aliases", """WITH a AS (SELECT lower(regexp_extract(text,'[A-Za-z]+')) alias, min('item-'||item_id) canonical FROM benchmark GROUP BY 1), m AS (SELECT b.item_id, canonical FROM benchmark b JOIN a ON alias<>'' AND regexp_matches(lower(b.text), '(^|[^\pL\pM\pN_])'||alias||'($|[^\pL\pM\pN_])') AND NOT contains(lower(b.text), canonical))
+SELECT item_id query_id, array_to_string(list_sort(list(DISTINCT canonical))[1:12], ',') added FROM m GROUP BY 1""")
+def joi06(spark: SparkSession, sf: str) -> DataFrame:
+    """The first word of each passage as an alias of it."""
+    b = table(spark, sf, "benchmark")
+    al = b.select(F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("alias"), F.concat(F.lit("item-"), "item_id").alias("c")).groupBy("alias").agg(F.min("c").alias("canonical_name")).where("alias <> ''")
+    return rt.alias_expand(d.queries(spark, sf), al).where("added IS NOT NULL").select("query_id", F.array_join("added", ",").alias("added"))
