@@ -213,7 +213,7 @@ def top11(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(e.where(F.col("id") % 50 == 0), e.where(F.col("id") % 50 != 0), 0.1)
 
 
-@query("joi06_aliases", """WITH a AS (SELECT lower(regexp_extract(text,'[A-Za-z]+')) alias, min('item-'||item_id) canonical FROM benchmark GROUP BY 1), m AS (SELECT b.item_id, canonical FROM benchmark b JOIN a ON alias<>'' AND regexp_matches(lower(b.text), '(^|[^\pL\pM\pN_])'||alias||'($|[^\pL\pM\pN_])') AND NOT contains(lower(b.text), canonical))
+@query("joi06_aliases", r"""WITH a AS (SELECT lower(regexp_extract(text,'[A-Za-z]+')) alias, min('item-'||item_id) canonical FROM benchmark GROUP BY 1), m AS (SELECT b.item_id, canonical FROM benchmark b JOIN a ON alias<>'' AND regexp_matches(lower(b.text), '(^|[^\pL\pM\pN_])'||alias||'($|[^\pL\pM\pN_])') AND NOT contains(lower(b.text), canonical))
 SELECT item_id query_id, array_to_string(list_sort(list(DISTINCT canonical))[1:12], ',') added FROM m GROUP BY 1""")
 def joi06(spark: SparkSession, sf: str) -> DataFrame:
     """The first word of each passage as an alias of it."""
