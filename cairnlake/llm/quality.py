@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, release
 
 # Frequent function words of each language.
 COMMON = {
@@ -181,7 +181,9 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns. No document is shuffled: the references are a few rows."""
-    refs = references(cut(features(docs), "quality"))
+    feats = cut(features(docs), "quality")
+    refs = references(feats)
+    release(feats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
