@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 OPEN = 64
 ENDED = (1).to_bytes(4, "little")
-CACHE_IDS = 250_000
+CACHE_IDS = 500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
