@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -37,8 +38,10 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     """
     spark, path = df.sparkSession, fresh(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first finds the handles that Python has let go of, the second what hung on them
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out

@@ -144,11 +144,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def classes(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = cut(docs.mapInPandas(lambda it: signatures(it, n_words, percent), SIG), "sets")
+    heads = cut(docs.mapInPandas(lambda it: signatures(it, n_words, percent), SIG), "heads")
+    reps = cut(heads.where("doc_id IS NOT NULL AND n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("node"), F.first("head").alias("head")), "nodes")
+    sig = cut(heads.drop("head"), "sets")
     whole = sig.where("doc_id IS NOT NULL AND n > 0")
-    reps = cut(whole.groupBy("sid", "n").agg(F.min("doc_id").alias("node"), F.first("head").alias("head")), "nodes")
-    same = reps.select(F.col("sid").alias("sid_of"), "node")
+    release(heads)
+    same = cut(reps.select(F.col("sid").alias("sid_of"), "node"), "same")
     idx = cut(index(reps.select("node", "n", "head"), frequent_tokens(reps, percent), percent), "index")
+    release(reps)
     pairs = cut(rare_pairs(idx, percent), "pairs")
     often = cut(frequent_rows(idx, percent), "often")
     release(idx)
@@ -157,7 +160,9 @@ def classes(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(often.select("node")).distinct()
     nodes = F.broadcast(nodes) if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else nodes
     texts = docs.join(nodes, F.col("doc_id") == F.col("node")).select("node", "text")
-    sets = cut(texts.mapInPandas(lambda it: packed_sets(it, n_words), "node long, tokens binary").dropDuplicates(["node", "tokens"]), "tokens")
+    sets = texts.mapInPandas(lambda it: packed_sets(it, n_words), "node long, tokens binary")
+    repeated = not whole.groupBy("doc_id").count().where("count > 1").isEmpty()
+    sets = cut(sets.dropDuplicates(["node", "tokens"]) if repeated else sets, "tokens")
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars).distinct()
     links = cut(verified(first, sets, percent), "links")
     labels = components(links)
