@@ -3,13 +3,15 @@
 A page is cut into blocks. Blocks in boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms,
 comments; by element name, role, class or id) go. If the page marks its article (article, main, role=main), the blocks in
 it are the text. Otherwise the remaining blocks are held against the host: the token streams of its pages are
-concatenated, and each suffix takes its place by (host, first ``DEPTH`` tokens), which is the suffix array to that depth.
-Neighbours from distinct pages share a substring of DEPTH tokens at least; tokens so covered are boilerplate, runs that
-nothing covers stay. Places are aggregated with partial sums, so a host may hold any share of the pages.
+concatenated, equal streams counted once, and each suffix takes its place by (host, first ``DEPTH`` tokens), which is the
+suffix array to that depth. Neighbours from distinct streams share a substring of DEPTH tokens at least. A place is
+common if ``LEAST`` distinct streams and ``SHARE`` percent of the host's have it; a block goes only if common places cover
+it whole, so a sentence that pages quote from one another stays, and so does a page that is merely copied.
+Places are aggregated with partial sums, so a host may hold any share of the pages.
 Repeated runs inside a marked article stay, as the article is wanted whole.
 
-Defined cases: null html gives the empty text; null url is a host of its own; pages with fewer than DEPTH tokens have
-nothing long enough to be covered; repeated rows with one page_id are one page; other columns are ignored.
+Defined cases: null html gives the empty text; a url without a host (null, empty) is a host of its own, so nothing is held
+against it; pages with fewer than DEPTH tokens have nothing long enough to be covered; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import cut, mix
 
 DEPTH = 8
+LEAST = 3
+SHARE = 50
 # Element names by role, and words that mark boilerplate in class, id or role.
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -133,29 +137,29 @@ def tokens_of(rest: list[str]) -> list[str]:
 
 def suffixes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        found = [(k, h, p, x) for k, h, p, rest in zip(pdf["row_key"], pdf["host"], pdf["page_id"], pdf["rest"]) for x in np.unique(places(tokens_of(rest)))]
-        yield pd.DataFrame(found, columns=["row_key", "host", "page_id", "place"]).astype({"page_id": "Int64", "place": "int64"})
+        found = [(h, k, x) for h, k, rest in zip(pdf["host"], pdf["stream"], pdf["rest"]) for x in np.unique(places(tokens_of(rest)))]
+        yield pd.DataFrame(found, columns=["host", "stream", "place"]).astype({"place": "int64"})
 
 
-def unique_runs(rest: list[str], repeated: list[int] | None) -> str:
+def without_common(rest: list[str], common: list[int] | None) -> str:
+    """The blocks that common places don't cover whole."""
     tokens = tokens_of(rest)
     covered = np.zeros(len(tokens), bool)
-    if repeated is not None and len(repeated):
-        for i in np.flatnonzero(np.isin(places(tokens), np.asarray(repeated, np.int64))):
+    if common is not None and len(common):
+        for i in np.flatnonzero(np.isin(places(tokens), np.asarray(common, np.int64))):
             covered[i : i + DEPTH] = True
     out, at = [], 0
     for block in rest:
         n = len(block.split())
-        kept = [t for t, c in zip(tokens[at : at + n], covered[at : at + n]) if not c]
+        if not covered[at : at + n].all():
+            out.append(block)
         at += n
-        if kept:
-            out.append(" ".join(kept))
     return "\n".join(out)
 
 
 def finished(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": [unique_runs(a, b) for a, b in zip(pdf["rest"], pdf["repeated"])]}).astype({"page_id": "Int64"})
+        yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": [without_common(a, b) for a, b in zip(pdf["rest"], pdf["common"])]}).astype({"page_id": "Int64"})
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -163,9 +167,12 @@ def extract(pages: DataFrame) -> DataFrame:
     schema = "page_id long, url string, host string, text string, rest array<string>"
     rows = cut(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(parsed, schema), "blocks")
     told = rows.where("text IS NOT NULL OR size(rest) = 0").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
-    open_rows = rows.where("text IS NULL AND size(rest) > 0").withColumn("row_key", F.sha2(F.to_json(F.struct("page_id", "url", "rest")), 256))
-    places_of = open_rows.select("row_key", "host", "page_id", "rest").mapInPandas(suffixes, "row_key string, host string, page_id long, place long")
-    shared = places_of.groupBy("host", "place").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).where("low < high").select("host", "place")
-    repeated = places_of.select("row_key", "host", "place").join(shared, ["host", "place"]).groupBy("row_key").agg(F.collect_set("place").alias("repeated"))
-    untold = open_rows.select("row_key", "page_id", "url", "rest").join(repeated, "row_key", "left").select("page_id", "url", "rest", "repeated").mapInPandas(finished, "page_id long, url string, text string")
+    open_rows = rows.where("text IS NULL AND size(rest) > 0").withColumn("stream", F.sha2(F.array_join("rest", " "), 256))
+    texts = open_rows.where("host <> ''").select("host", "stream", "rest").dropDuplicates(["host", "stream"])
+    places_of = texts.mapInPandas(suffixes, "host string, stream string, place long")
+    many = texts.groupBy("host").agg(F.count("*").alias("n"))
+    held = places_of.groupBy("host", "place").agg(F.count("*").alias("c")).where(F.col("c") >= LEAST)
+    shared = held.join(many, "host").where(F.col("c") * 100 >= F.col("n") * SHARE).select("host", "place")
+    common = places_of.join(shared, ["host", "place"]).groupBy("host", "stream").agg(F.collect_set("place").alias("common"))
+    untold = open_rows.join(common, ["host", "stream"], "left").select("page_id", "url", "rest", "common").mapInPandas(finished, "page_id long, url string, text string")
     return told.union(untold).withColumn("n_chars", F.length("text").cast("long"))

@@ -170,6 +170,24 @@ def test_extract(spark):
     assert extract.extract(df).count() == len(pages) and extract.extract(df.limit(0)).count() == 0
 
 
+def test_extract_keeps_what_few_pages_share(spark):
+    menu = "home products about us contact imprint privacy terms of service"
+    quote = "it was the best of times it was the worst of times"
+    own = ["alpha beta gamma delta epsilon zeta eta theta iota kappa", "one two three four five six seven eight nine ten eleven", "red orange yellow green blue indigo violet black white grey"]
+    pages = [(1, "http://copy/1", f"<p>{own[0]}</p><p>{quote}</p>"), (2, "http://copy/2", f"<p>{own[0]}</p><p>{quote}</p>")]
+    pages += [(10 + i, f"http://h/{i}", f"<div>{menu}</div><p>{own[i]}</p><p>{f'page {i} says {quote} and goes on' if i else 'no quote'}</p>") for i in range(3)]
+    pages += [(20 + i, None, f"<div>{menu}</div><p>{own[i]}</p>") for i in range(3)]
+    # a sentence that all pages of a host reuse within blocks of their own
+    pages += [(30 + i, f"http://s/{i}", f"<p>{own[i]} {quote}</p>") for i in range(3)]
+    # a menu that only three of seven distinct texts have
+    pages += [(40 + i, f"http://w/{i}", (f"<div>{menu}</div>" if i < 3 else "") + f"<p>text {i} of the host</p>") for i in range(7)]
+    got = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] == f"{own[0]}\n{quote}"
+    for i in range(3):
+        assert got[10 + i] == own[i] + "\n" + (f"page {i} says {quote} and goes on" if i else "no quote")
+        assert got[20 + i] == f"{menu}\n{own[i]}" and got[30 + i] == f"{own[i]} {quote}" and got[40 + i] == f"{menu}\ntext {i} of the host"
+
+
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
 def test_jaccard(spark, n, percent, empty):
     df = fx.documents(spark, extra=True, seed=n)
