@@ -1,7 +1,8 @@
 """Main text of web pages: page structure, and a host-wide suffix array for pages whose structure doesn't tell.
 
 A page is cut into blocks. Blocks in boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms,
-comments; by element name, role, class or id) go. If the page marks its article (article, main, role=main), the blocks in
+comments; by element name, role, or a class or id that is a whole mark or a compound of marks) go; class and id say nothing
+of html, body, main and article, and header marks nothing of an article's own header. If the page marks its article (article, main, role=main), the blocks in
 it are the text. Otherwise the remaining blocks are held against the host: the token streams of its pages are
 concatenated, equal streams counted once, and each suffix takes its place by (host, first ``DEPTH`` tokens), which is the
 suffix array to that depth. Neighbours from distinct streams share a substring of DEPTH tokens at least. A place is
@@ -37,6 +38,10 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style title textarea noscript iframe template svg math object xmp noembed noframes select button".split())
 SKIP = set("nav footer aside form head menu dialog search".split())
 MARKS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion reactions related replies share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+HEADS = {"header", "masthead"}  # inside an article they hold its heading
+LEAD = set("bottom global main primary secondary site top".split())
+TAIL = set("area bar block box buttons icons item items link links list posts section slot unit".split())
+WHOLE = {"html", "body", "main", "article"}
 ROLES = set("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -44,16 +49,29 @@ ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([
 ENDS = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for x in RAW}
 
 
-def marked(attributes: str) -> tuple[bool, bool]:
-    """(boilerplate, main) by class, id and role."""
+def names_boilerplate(name: str, marks: set[str]) -> bool:
+    """A mark, or a compound of marks but for LEAD words before and TAIL words after them."""
+    parts = [x for x in re.split(r"[_-]+", name) if x]
+    while len(parts) > 1 and parts[0] in LEAD:
+        parts = parts[1:]
+    while len(parts) > 1 and parts[-1] in TAIL:
+        parts = parts[:-1]
+    return bool(parts) and marks.issuperset(parts)
+
+
+def marked(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """(boilerplate, main) of an element by class, id and role; class and id mark no element that holds the page or the article."""
     bad = main = False
-    for name, *values in ATTRIBUTE.findall(attributes):
+    named: list[str] = []
+    for key, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
-        if name.lower() == "role":
+        if key.lower() == "role":
             bad |= value.strip() in ROLES
             main |= value.strip() == "main"
         else:
-            bad |= not MARKS.isdisjoint(re.split(r"[\s_-]+", value))
+            named += value.split()
+    if name not in WHOLE and not main:
+        bad = bad or any(names_boilerplate(x, MARKS - HEADS if inside else MARKS) for x in named)
     return bad, main
 
 
@@ -103,7 +121,7 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
                     close("li")
             if name not in VOID and not (m[3] or "").endswith("/"):
                 _, bad, main = stack[-1]
-                by_class, by_role = marked(m[3] or m[6] or "") if m[3] or m[6] else (False, False)
+                by_class, by_role = marked(name, m[3] or m[6], main) if m[3] or m[6] else (False, False)
                 bad = bad or by_class or name in SKIP or (name == "header" and not main)
                 stack.append((name, bad, main or by_role or name in ("article", "main")))
     if at < len(page):

@@ -170,6 +170,27 @@ def test_extract(spark):
     assert extract.extract(df).count() == len(pages) and extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<html class="no-sidebar"><body class="has-sidebar menu"><article><p>text</p></article></body></html>', "text"),
+        ('<main class="with-menu" id="navigation"><p>text</p></main>', "text"),
+        ('<article class="post no-comments widget"><p>text</p></article>', "text"),
+        ('<div role="main" class="sidebar"><p>text</p></div>', "text"),
+        ('<div class="layout has-sidebar with-menu ad-free"><article><p>text</p></article></div>', "text"),
+        ('<article><div class="post-header"><h1>head</h1></div><div class="header"><h2>line</h2></div><p>text</p></article>', "head\nline\ntext"),
+        ('<article><p>text</p><div class="share-buttons">no</div><div id="comments">no</div><ul class="x related_posts"><li>no</ul><div class="cookie-notice">no</div><div class="ad">no</div></article>', "text"),
+    ],
+)
+def test_extract_marks(page, want):
+    assert "\n".join(extract.blocks(page)[0]) == want
+
+
+def test_extract_marks_outside_an_article():
+    page = '<body class="menu"><div class="site-header">no</div><div class="header">no</div><div class="main-nav">no</div><div class="section-header">head</div><p>text</p><div id="site-footer">no</div></body>'
+    assert extract.blocks(page) == ([], ["head", "text"])
+
+
 def test_extract_keeps_what_few_pages_share(spark):
     menu = "home products about us contact imprint privacy terms of service"
     quote = "it was the best of times it was the worst of times"
