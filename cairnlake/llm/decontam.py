@@ -2,26 +2,29 @@
 
 A seed is the hash of the tokens at the positions that a fixed mask keeps. Any ``WINDOW`` tokens with two substitutions
 or fewer agree, somewhere in the window, on all kept positions of one of the ``MASKS`` (checked by a test over all
-pairs of positions). Seeds of all documents are joined with those of all benchmark items; a hit gives a document, an
+pairs of positions). Shorter items are compared whole: their positions fall into two groups more than there may be
+substitutions, and the ``short_masks`` keep all but that many groups, so some mask misses any substitutions allowed; they
+are looked for only where the benchmark has items of that length. Seeds of all documents are joined with those of all benchmark items; a hit gives a document, an
 item and a diagonal. There the tokens are compared: a document is contaminated if some window of WINDOW tokens of the
 item (of the whole item if that is shorter) has at least ``SHARE`` percent of them in the same places.
 
 The benchmark side is broadcast only up to ``BROADCAST_SEEDS`` seeds, counted first; beyond that the join is shuffled.
 Tokens are lower-cased runs of letters and digits, so case and punctuation make no difference.
 
-Defined cases: null, empty or blank texts contaminate and are contaminated by nothing; items of fewer tokens than a mask
-spans are too short to tell and flag nothing; repeated rows are flagged alike; a null doc_id or item_id takes part in
+Defined cases: null, empty or blank texts contaminate and are contaminated by nothing; items of 1 to 4
+tokens flag every document that has them verbatim; repeated rows are flagged alike; a null doc_id or item_id takes part in
 nothing; other columns are ignored (``clean`` passes them on); empty tables give no pairs.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Kept positions.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 2, 5, 6, 7, 8))
-SPAN = 9
 WINDOW = 13
 SHARE = 80
 BROADCAST_SEEDS = 500_000
@@ -32,6 +35,13 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""), lambda t: F.xxhash64(t))
 
 
+def short_masks(n: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(first position, kept positions from there) of the masks for items of n tokens, n < WINDOW."""
+    wrong = n * (100 - SHARE) // 100
+    kept = [[i for i in range(n) if i * (wrong + 2) // n not in left_out] for left_out in combinations(range(wrong + 2), wrong)]
+    return [(k[0], tuple(i - k[0] for i in k)) for k in kept]
+
+
 def seeds(mask: tuple[int, ...]) -> Column:
     """The mask's seeds of column t, in order of position."""
     at = lambda i: F.xxhash64(*[F.get("t", i + p) for p in mask])
@@ -39,18 +49,24 @@ def seeds(mask: tuple[int, ...]) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), at))
 
 
-def seeded(rows: DataFrame, *keep: str) -> DataFrame:
+def seeded(rows: DataFrame, masks: list[tuple[int, ...]], *keep: str) -> DataFrame:
     """(keep, mask, at, seed) of rows with tokens t."""
-    every = F.array(*[F.struct(F.lit(i).alias("mask"), seeds(m).alias("found")) for i, m in enumerate(MASKS)])
+    every = F.array(*[F.struct(F.lit(i).alias("mask"), seeds(m).alias("found")) for i, m in enumerate(masks)])
     return rows.select(*keep, F.explode(every).alias("m")).select(*keep, "m.mask", F.posexplode("m.found").alias("at", "seed"))
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, shift) where a document and an item share a seed; docs and items have tokens t."""
-    theirs = seeded(items, "item_id").select("item_id", "mask", F.col("at").alias("item_at"), "seed").distinct()
+    short = {n: short_masks(n) for (n,) in items.select(F.size("t")).where(F.size("t") < WINDOW).distinct().collect()}  # fewer than WINDOW rows
+    masks = list(MASKS) + sorted({m for found in short.values() for _, m in found} - set(MASKS))
+    theirs = seeded(items.where(F.size("t") >= WINDOW), list(MASKS), "item_id").select("item_id", "mask", F.col("at").alias("item_at"), "seed")
+    for n, found in sorted(short.items()):
+        whole = [F.struct(F.lit(masks.index(m)).alias("mask"), F.lit(at).alias("item_at"), F.xxhash64(*[F.get("t", F.lit(at + p)) for p in m]).alias("seed")) for at, m in found]
+        theirs = theirs.union(items.where(F.size("t") == n).select("item_id", F.inline(F.array(*whole))))
+    theirs = theirs.distinct()
     if theirs.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         theirs = F.broadcast(theirs)
-    ours = seeded(docs, "doc_id")
+    ours = seeded(docs, masks, "doc_id")
     return ours.join(theirs, ["seed", "mask"]).select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
 
@@ -65,7 +81,7 @@ def best_window() -> Column:
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_same, n_window): each contaminated pair with its best window."""
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("t")).where(F.size("t") >= SPAN)
+    items = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
     found = hits(docs.select("doc_id", tokens(F.col("text")).alias("t")), items)
     both = found.join(items.select("item_id", F.col("t").alias("i")), "item_id").join(docs.select("doc_id", tokens(F.col("text")).alias("t")), "doc_id")
     w = F.least(F.size("i"), F.lit(WINDOW))

@@ -83,6 +83,35 @@ def test_masks_find_any_two_substitutions():
         assert any(not any(s + p in bad for p in m) for m in decontam.MASKS for s in range(decontam.WINDOW - m[-1]))
 
 
+def test_short_masks_find_any_allowed_substitutions():
+    for n in range(1, decontam.WINDOW):
+        for k in range(n + 1):
+            for bad in itertools.combinations(range(n), k):
+                if 100 * (n - k) >= decontam.SHARE * n:
+                    assert any(not any(at + p in bad for p in m) for at, m in decontam.short_masks(n)), (n, bad)
+
+
+def test_decontamination_of_short_items(spark):
+    """Every substitution that 80 % allows, in an item of each length below a window; one more is too many."""
+    rows, items, want = [], [], {}
+    for n in range(1, decontam.WINDOW + 1):
+        item = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        rows.append((len(rows), f"cut {' '.join(item[1:])}"))  # the first token is another
+        want[rows[-1][0], n] = n - 1
+        rows.append((len(rows), " ".join(item[1:])))  # the item begins before the document
+        want[rows[-1][0], n] = n - 1
+        for k in range(4):
+            for bad in itertools.combinations(range(n), k):
+                rows.append((len(rows), "said " + " ".join("other" if i in bad else x for i, x in enumerate(item)) + " then"))
+                want[rows[-1][0], n] = n - k
+    want = {(d, n, same, n) for (d, n), same in want.items() if same and 100 * same >= decontam.SHARE * n}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert set(map(tuple, decontam.overlaps(docs, spark.createDataFrame(items, "item_id long, text string")).collect())) == want
+    some = spark.createDataFrame([items[9]], "item_id long, text string")
+    assert set(map(tuple, decontam.overlaps(docs, some).collect())) == {x for x in want if x[1] == 10}
+
+
 def test_decontamination(spark, docs, rows, empty):
     rng = random.Random(3)
     words = fx.vocabulary(rng)
