@@ -3,7 +3,7 @@
 Method: every document gets two histograms, one over character classes and one over the common words of its
 language (and "any other word"). The references are the sums of these histograms over all documents of the language
 that pass the base rules. A document is rejected where the Jensen-Shannon distance (square root of the divergence to
-base 2, 0 to 1) to its reference exceeds a limit, unless it is too short for its histogram to mean anything.
+base 2, 0 to 1) to its reference exceeds a limit, unless the histogram has too few characters or words to mean anything.
 
 Defined cases: null text has no words, so base_failed; null or unlisted lang is held against the pooled reference
 OTHER; other columns are passed on by ``keep`` alone; repeated rows are judged one by one; an empty table
@@ -31,6 +31,7 @@ COMMON = {
 }
 OTHER = "other"
 MIN_WORDS = 50
+MIN_CHARS_JS = 2 * MIN_WORDS - 1  # the fewest characters of MIN_WORDS words, blanks included
 MIN_WORDS_JS = 80
 #: Rows of a batch that are worked on at once.
 SLICE = 500
@@ -157,7 +158,7 @@ def judge(m: tuple, lang: str | None, refs: dict[str, tuple[np.ndarray, np.ndarr
     failed = base_failed(m[0], m[4])
     ref = refs.get(lang if lang in COMMON else OTHER)
     char_js, word_js = (distance(np.array(x, float), r) for x, r in zip(m[5:7], ref)) if ref else (0.0, 0.0)
-    strange = m[0] >= MIN_WORDS_JS and (char_js > MAX_CHAR_JS or word_js > MAX_WORD_JS)
+    strange = (sum(m[5]) >= MIN_CHARS_JS and char_js > MAX_CHAR_JS) or (m[0] >= MIN_WORDS_JS and word_js > MAX_WORD_JS)
     return failed, not failed and not strange, char_js, word_js
 
 

@@ -362,6 +362,19 @@ def test_quality_verdicts(spark):
     assert {r.doc_id for r in quality.keep(df).collect()} == set(range(30))
 
 
+def test_quality_of_short_documents(spark):
+    """From 50 words on characters tell; common words only from 80 on."""
+    rng = random.Random(8)
+    common = quality.COMMON["en"].split()
+    words = fx.vocabulary(rng)
+    clean = [" ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(words) for _ in range(200)).capitalize() + "." for _ in range(30)]
+    symbols = [" ".join(rng.choice(words) + rng.choice(["###", "***", "$$$"]) for _ in range(n)) for n in (50, 60, 79)]
+    rare = [" ".join(rng.choice(words) for _ in range(n)) for n in (60, 79)]
+    df = spark.createDataFrame(list(enumerate(clean + symbols + rare)), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    kept = {r.doc_id for r in quality.quality(df).where("kept").collect()}
+    assert kept == {r.doc_id for r in quality.keep(df).collect()} == {*range(30), 33, 34}
+
+
 def brute_lines(rows, least=40, many=5):
     key = lambda x: x.strip(BLANK).translate({c: c + 32 for c in range(65, 91)})
     seen = collections.defaultdict(set)
