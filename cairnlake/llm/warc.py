@@ -11,8 +11,9 @@
 
 Defined cases: null html is an empty payload; null url has the empty URL key; a row without page_id is a response only
 where none of its payload group has one; repeated rows get a record each, and those that share the largest page_id are
-all responses; other columns are ignored; an empty table writes no archive. Without a ``captured_at`` column the time is
-the epoch plus page_id seconds.
+all responses; other columns are ignored; an empty table writes no archive. The time is that of a ``captured_at``
+column (a time without zone is UTC), with its microseconds; without the column, or where it is null or no time, it is the
+epoch plus page_id seconds.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from datetime import datetime, timedelta
 from urllib.parse import quote, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh
@@ -56,16 +57,19 @@ def url_key(url: str | None) -> str:
     return f"{','.join(reversed(host.split('.')))}{port}){parts.path.lower().rstrip('/') or '/'}{'?' + query if query else ''}" if host else (url or "").lower()
 
 
-def record(page: int | None, url: str | None, payload: bytes, refers: int | None, revisit: bool) -> bytes:
+def made_up(page: int | None) -> str:
+    return f"{EPOCH + timedelta(seconds=(page or 0) % 3_000_000_000):%Y-%m-%dT%H:%M:%S}.000000Z"
+
+
+def record(page: int | None, url: str | None, payload: bytes, refers: int | None, revisit: bool, time: str) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    when = EPOCH + timedelta(seconds=(page or 0) % 3_000_000_000)
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
         f"WARC-Target-URI: {quote(url or '', safe='/:?#[]@!$&()*+,;=%~-._')}",
-        f"WARC-Date: {when:%Y-%m-%dT%H:%M:%SZ}",
+        f"WARC-Date: {time}",
         f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
@@ -90,12 +94,12 @@ def written(batches: Iterable[pd.DataFrame], folder: str) -> Iterator[pd.DataFra
     fs, root = filesystem(folder)
     stream, name, size, names = None, "", 0, []
     for pdf in batches:
-        for page, url, html, refers, revisit in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], pdf["revisit"]):
+        for page, url, html, refers, revisit, time in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], pdf["revisit"], pdf["time"]):
             if stream is None:
                 fs.create_dir(root, recursive=True)
                 name, size = f"{uuid.uuid4().hex}.warc.gz", 0
                 stream = fs.open_output_stream(f"{root}/{name}", compression=None)
-            data = record(optional(page), url, (html or "").encode(), optional(refers), bool(revisit))
+            data = record(optional(page), url, (html or "").encode(), optional(refers), bool(revisit), time or made_up(optional(page)))
             stream.write(data)
             size += len(data)
             if size >= ROLL:
@@ -196,15 +200,24 @@ def merged(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame(out[i : i + 10_000])
 
 
+def times(pages: DataFrame) -> Column:
+    """captured_at in UTC as a WARC-Date whose text sorts by time, null where the made-up time is to be used."""
+    kind = dict(pages.dtypes).get("captured_at")
+    if kind is None:
+        return F.lit(None).cast("string")
+    at = F.col("captured_at").try_cast("timestamp")
+    return F.date_format(at if kind == "timestamp_ntz" else F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
 def captures(pages: DataFrame, min_bytes: int = 0, folder: str | None = None) -> DataFrame:
     """Write the archives, read them back, merge their runs: a row per record in global capture order within ranges."""
     folder = folder or fresh(pages.sparkSession, "warc")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("body", F.coalesce("html", F.lit("")).cast("binary"))
-    rows = rows.select("page_id", "url", "html", F.sha2("body", 256).alias("same"), F.octet_length("body").alias("size"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", times(pages).alias("time")).withColumn("body", F.coalesce("html", F.lit("")).cast("binary"))
+    rows = rows.select("page_id", "url", "html", "time", F.sha2("body", 256).alias("same"), F.octet_length("body").alias("size"))
     first = rows.groupBy("same", "size").agg(F.max("page_id").alias("first_id"))
     rows = rows.join(first, ["same", "size"])
     revisit = (F.col("size") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    rows = rows.select("page_id", "url", "html", F.col("first_id").alias("refers_to"), revisit.alias("revisit"))
+    rows = rows.select("page_id", "url", "html", "time", F.col("first_id").alias("refers_to"), revisit.alias("revisit"))
     manifest = cut(rows.mapInPandas(lambda it: written(it, folder), "run string"), "manifest")
     runs = cut(manifest.repartition("run").mapInPandas(lambda it: local_runs(it, folder), RUNS), "runs")
     return runs.repartitionByRange("url_key", "captured_at", "page_id").mapInPandas(merged, RUNS)

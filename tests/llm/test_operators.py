@@ -71,6 +71,16 @@ def test_warc(spark):
     assert ordered == sorted(ordered)
 
 
+def test_warc_times(spark):
+    """A history goes by the capture times, to the microsecond, and by made-up times where there are none."""
+    pages = [(1, "2024-05-01 00:00:00.5"), (2, "2024-05-01 00:00:00"), (3, "2023-01-01 12:00:00"), (4, None), (5, "2024-05-01 00:00:00.25")]
+    df = spark.createDataFrame([(p, "http://a/", f"v{p}", t) for p, t in pages], "page_id long, url string, html string, t string")
+    want = [(3, "2023-01-01T12:00:00.000000Z"), (4, "2024-01-01T00:00:04.000000Z"), (2, "2024-05-01T00:00:00.000000Z"), (5, "2024-05-01T00:00:00.250000Z"), (1, "2024-05-01T00:00:00.500000Z")]
+    for time in (F.expr("cast(t AS timestamp_ntz)"), F.expr("cast(t || 'Z' AS timestamp)"), F.concat("t", F.lit("Z"))):
+        got = warc.captures(df.withColumn("captured_at", time).drop("t").repartition(3)).collect()
+        assert [(r.page_id, r.captured_at) for r in got] == want
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 7, 16):
