@@ -1,26 +1,24 @@
-"""What the corpus operators share: the shared folder, lineage cuts, word hashes, connected components."""
+"""What the corpus operators share: the shared folder, lineage cuts, a hash finaliser, connected components."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK = (1 << 64) - 1
-#: Entries that a worker keeps of its word cache before it starts anew.
-CACHE_WORDS = 400_000
+#: Spark setting: shuffle files go as soon as the job that wrote them has ended.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    """The folder that driver and executors share. A local session that names none gets one of its own; a cluster must name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="cairnlake-")
         shared_dir.own = folder
     return folder.rstrip("/")
@@ -31,17 +29,14 @@ def fresh(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write and read again: lineage ends at files that outlive any executor.
-
-    Shuffle files of what was written are of no more use. Spark drops them when the driver's garbage collector finds
-    their handles gone, so it is asked to look now rather than in its own time.
-    """
+    """Write and read again: lineage ends at files that outlive any executor, and the shuffles that led there are dropped."""
     spark, path = df.sparkSession, fresh(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    for _ in range(2):  # the first finds the handles that Python has let go of, the second what hung on them
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
@@ -66,34 +61,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash; bounded, so that a long-lived worker doesn't grow."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-def shingles(text: str | None, n: int, cache: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles; of the whole sequence if there are fewer words; empty without words."""
-    seq = words(text)
-    if not seq:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, seq), np.uint64, len(seq))
-    size = min(n, len(h))
-    out = np.full(len(h) - size + 1, size, np.uint64)
-    for i in range(size):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - size + 1 + i])
-    return np.unique(out)
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) long -> (id, component): the smallest id that links reach, for every id of an edge.
 

@@ -1,20 +1,24 @@
 """N-gram Jaccard join and its classes, by prefixes of token combinations.
 
-Tokens are 64-bit hashes of word shingles; a document is its set of them, taken in hash order. Two documents link
-when 100 * |x & y| >= percent * |x | y|.
-
-1. Equal sets become one node (the smallest doc_id). From here on only different texts are compared.
-2. A node's prefix are its first p = n - ceil(percent * n / 100) + 1 tokens; linked nodes share one of them. Tokens held
-   by more than ``RARE`` prefixes are frequent; the ``FREQUENT`` most held are kept as such (a bounded list).
-3. A prefix is extended by as many tokens as it holds frequent ones, f, up to ``SLACK``: linked nodes then share f + 1
-   tokens of the extended prefixes, so a rare one, and single rare tokens index them. Their buckets are small.
-   Nodes whose extension runs out (dense: groups of near copies) also index their frequent tokens: sets of up to
-   ``COMBINE`` tokens by combinations of two, larger ones by single tokens.
-4. Rare buckets give pairs. Size, and the number of shared prefix tokens against what the rest could add, drop most.
-5. Verification in two rounds. First each node with its smallest partner and with the smallest node of each frequent
-   bucket (a star, never all pairs); then what still crosses components: the rest of the rare pairs, and in frequent
-   buckets the nodes outside the bucket's largest component against all of it.
-6. Components of the links. Pairs within a component need no check, so no group of copies is expanded into all pairs.
+Tokens are 64-bit hashes of word shingles; a document is the set of them. Two documents link when
+100 * |x & y| >= percent * |x | y|.
+
+1. Equal texts become one node (the smallest doc_id). From here on only different texts are compared.
+2. Nodes are dealt to cells of about ``CELL`` bytes of text. A cell sends each distinct token once, as 32 bits packed by
+   bucket of the hash and with the number of its nodes that hold it; a bucket adds up and sends back the token's
+   frequency class (``CLASSES``: held by 1 node, up to 8, up to 32, ...). Tokens that share bucket and bits count as one,
+   which can only make a class too high, for everybody alike.
+3. Tokens are taken in order of class, then hash: the rarest first. Linked nodes share one of the first
+   p = n - ceil(percent * n / 100) + 1 tokens of each, and two of the first p + 1. A token held by one node can be shared
+   by none, so nodes with as many of these as the prefix is long link with nothing and are done with. The others index
+   their rare tokens (classes up to ``RARE``) one by one; of frequent tokens they index combinations of two of the prefix
+   extended by one, or, for sets of more than ``COMBINE`` tokens, whose combinations would be too many, single ones.
+4. A bucket of the index never makes all its pairs. Every node is paired with one pivot of the bucket (the node with the
+   smallest share of tokens that nobody else holds, so that edited copies meet the least edited one). Sizes and the
+   places of the shared token in both orders bound the overlap and drop most pairs. The rest are verified, and linked
+   nodes become components. Buckets that hold nodes of several components go on, with ``PIVOTS`` pivots, and what is
+   left after that, mostly nothing, with every pair that still crosses components and may link.
+5. Components of the links. Pairs within a component need no check, so no group of copies is expanded into all pairs.
 
 Defined cases: null, empty or blank text has the empty set, which links with nothing; fewer words than a shingle make
 one shingle; rows that share a doc_id are one node, each with its own size; a null doc_id stays by itself with a null
@@ -23,37 +27,132 @@ component; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, cut, release, shingles
+from .common import components, cut, mix, release
+from .shingling import GOLD, Words, shingle_sets
 
-RARE = 32
-FREQUENT = 200_000
-SLACK = 16
+CELL = 2 << 20
+BUCKET = 4 << 20
+LEAST = 16
+#: Most nodes that hold a token of class 0, 1, ...; the last class has no limit.
+CLASSES = np.array([1, 8, 32, 128, 512, 2048, 8192])
+RARE = 2
 COMBINE = 60
-#: Candidate ids are broadcast up to this many, counted first; beyond that the join is shuffled.
-BROADCAST_NODES = 500_000
-SIG = "doc_id long, n long, sid binary, head array<long>"
-
-
-def signatures(batches: Iterable[pd.DataFrame], n_words: int, percent: int) -> Iterator[pd.DataFrame]:
-    cache = WordHashes()
-    for pdf in batches:
-        sets = [shingles(t, n_words, cache) for t in pdf["text"]]
-        heads = [s[: len(s) + -(-percent * len(s) // 100) * -1 + 1 + SLACK].astype(np.int64) for s in sets]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "sid": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "head": heads}).astype({"doc_id": "Int64"})
-
-
-def packed_sets(batches: Iterable[pd.DataFrame], n_words: int) -> Iterator[pd.DataFrame]:
-    cache = WordHashes()
-    for pdf in batches:
-        yield pd.DataFrame({"node": pdf["node"], "tokens": [shingles(t, n_words, cache).tobytes() for t in pdf["text"]]})
+PIVOTS = 16
+
+KEY = ["id", "named", "h1", "h2"]
+NODES = "id long, named boolean, h1 long, h2 long, n long, alone long, keys array<long>, at array<int>, tokens binary"
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    for part in np.split(order, cuts) if len(order) else []:
+        yield int(bucket[part[0]]), part
+
+
+def cell_sets(pdf: pd.DataFrame, reps: pd.DataFrame, n_words: int) -> tuple[pd.DataFrame, list[np.ndarray]]:
+    """The cell's nodes in order of their key, and their sets."""
+    if not len(pdf) or not len(reps):
+        return pd.DataFrame(columns=[*KEY, "text"]), []
+    nodes = pdf.merge(reps[KEY], on=KEY).drop_duplicates(KEY).sort_values(KEY, ignore_index=True)
+    return nodes, shingle_sets(nodes["text"].tolist(), n_words, Words())
+
+
+def distinct_tokens(nodes: pd.DataFrame, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens of the named nodes, the place of every token among them, how many nodes hold each."""
+    named = [s for s, is_named in zip(sets, nodes["named"]) if is_named]
+    return np.unique(np.concatenate(named) if named else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
+
+
+def sent_tokens(n_words: int, buckets: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Cell -> (bucket, cell, bits, held)."""
+
+    def run(key: tuple, pdf: pd.DataFrame, reps: pd.DataFrame) -> pd.DataFrame:
+        tokens, _, held = distinct_tokens(*cell_sets(pdf, reps, n_words))
+        rows = [(b, key[0], tokens[p].astype(np.uint32).tobytes(), np.minimum(held[p], 255).astype(np.uint8).tobytes()) for b, p in by_bucket(bucket_of(tokens, buckets))]
+        return pd.DataFrame(rows, columns=["bucket", "cell", "bits", "held"])
+
+    return run
+
+
+def token_classes(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Bucket -> (cell, bucket, data): the class of each token that the cell sent, in the order sent."""
+    bits = [np.frombuffer(x, np.uint32) for x in pdf["bits"]]
+    _, at = np.unique(np.concatenate(bits), return_inverse=True)
+    total = np.bincount(at, np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["held"]]))
+    level = np.searchsorted(CLASSES, total).astype(np.uint8)[at]
+    ends = np.cumsum([len(b) for b in bits]).tolist()
+    return pd.DataFrame({"cell": pdf["cell"], "bucket": key[0], "data": [level[e - len(b) : e].tobytes() for e, b in zip(ends, bits)]})
+
+
+def prefix_keys(tokens: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index keys, place of the key's first token) of a set whose tokens have these classes."""
+    n = len(tokens)
+    need = -(-percent * n // 100)
+    p, small = n - need + 1, need >= 2 and n * percent <= COMBINE * 100
+    wide = min(n, p + small)
+    alone = int((level == 0).sum())
+    take = np.lexsort((tokens, level))[alone:wide]
+    t, often, at = tokens[take], level[take] > RARE, np.arange(alone, max(alone, wide))
+    keys, places = [t[~often]], [at[~often]]
+    if not small or n > COMBINE:
+        one = often & (at < p)
+        keys.append(t[one])
+        places.append(at[one])
+    if small:
+        i, j = np.triu_indices(int(often.sum()), 1)
+        keys.append(mix(t[often][i] * GOLD + t[often][j]))
+        places.append(at[often][i])
+    return np.concatenate(keys).astype(np.int64), np.concatenate(places).astype(np.int32)
+
+
+def indexed(n_words: int, percent: int, buckets: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Cell, its nodes and its tokens' classes -> NODES; nodes that can link with nothing have no keys and no tokens."""
+
+    def run(key: tuple, pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        nodes, sets = cell_sets(pdf, told[told["bucket"] < 0] if len(told) else told, n_words)
+        tokens, at, _ = distinct_tokens(nodes, sets)
+        data = dict(zip(told["bucket"], told["data"])) if len(tokens) else {}
+        level = np.empty(len(tokens), np.uint8)
+        for b, part in by_bucket(bucket_of(tokens, buckets)):
+            level[part] = np.frombuffer(data[b], np.uint8)
+        every, begin, rows = level[at], 0, []
+        for *node, named, h1, h2, s in zip(nodes["id"], nodes["named"], nodes["h1"], nodes["h2"], sets):
+            own = every[begin : begin + len(s)] if named else every[:0]
+            begin += len(own)
+            keys, places = prefix_keys(s, own, percent) if len(own) else ((), ())
+            rows.append((*node, named, h1, h2, len(s), int((own == 0).sum()), keys, places, s.tobytes() if len(keys) else None))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in NODES.split(", ")])
+
+    return run
+
+
+def cell_nodes(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """NODES: a row for each distinct text (docs: KEY and text)."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells, buckets = max(LEAST, size // CELL), max(LEAST, size // BUCKET)
+    cell = F.pmod(F.when(F.col("named"), F.xxhash64("id")).otherwise(F.col("h1")), F.lit(cells)).alias("cell")
+    first = F.coalesce(F.min(F.when(F.col("named"), F.col("id"))), F.lit(0))
+    reps = docs.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(first.alias("id"), F.max("named").alias("named"), F.max("h1").alias("h1"), F.max("h2").alias("h2"))
+    reps = reps.select(cell, *KEY)
+    by_cell = docs.select(cell, *KEY, "text").groupBy("cell")
+    sent = by_cell.cogroup(reps.groupBy("cell")).applyInPandas(sent_tokens(n_words, buckets), "bucket long, cell long, bits binary, held binary")
+    told = sent.groupBy("bucket").applyInPandas(token_classes, "cell long, bucket long, data binary")
+    none = F.lit(0).cast("long")
+    told = told.select("cell", none.alias("id"), F.lit(False).alias("named"), none.alias("h1"), none.alias("h2"), "bucket", "data")
+    told = told.union(reps.select("cell", *KEY, F.lit(-1).cast("long").alias("bucket"), F.lit(b"").alias("data")))
+    return by_cell.cogroup(told.groupBy("cell")).applyInPandas(indexed(n_words, percent, buckets), NODES)
 
 
 def linked(batches: Iterable[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
@@ -66,123 +165,82 @@ def linked(batches: Iterable[pd.DataFrame], percent: int) -> Iterator[pd.DataFra
         yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
 
-def prefix(n: Column, percent: int) -> Column:
-    return n - F.ceil(n * percent / F.lit(100)) + 1
-
-
-def sizes_fit(a: str, b: str, percent: int) -> Column:
-    return F.greatest(a, b) * percent <= F.least(a, b) * 100
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
+    y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "tokens_a", "tokens_b")
+    return both.mapInPandas(lambda it: linked(it, percent), "a long, b long")
 
 
 def ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def frequent_tokens(reps: DataFrame, percent: int) -> DataFrame:
-    held = reps.select(F.explode(F.slice("head", 1, prefix(F.col("n"), percent).cast("int"))).alias("k")).groupBy("k").count()
-    return held.where(F.col("count") > RARE).orderBy(F.desc("count"), "k").limit(FREQUENT).select("k")
-
-
-def index(reps: DataFrame, common: DataFrame, percent: int) -> DataFrame:
-    """reps with rare: the rare tokens of the extended prefix, often: its frequent ones, reach: its length, dense."""
-    listed = reps.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in common.toLocalIterator()], np.int64)))  # at most FREQUENT
-
-    def split(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = listed.value
-        for pdf in batches:
-            rows = []
-            for node, n, head in zip(pdf["node"], pdf["n"], pdf["head"]):
-                head = np.asarray(head, np.int64)
-                p = n + -(-percent * n // 100) * -1 + 1
-                at = np.searchsorted(often, head) if len(often) else np.zeros(len(head), int)
-                is_often = often[np.minimum(at, len(often) - 1)] == head if len(often) else np.zeros(len(head), bool)
-                rare_so_far = np.cumsum(~is_often)
-                reach = int(np.searchsorted(rare_so_far, p)) + 1  # p rare tokens
-                dense = reach > len(head)
-                reach = min(reach, len(head))
-                rows.append((node, n, head[:reach][~is_often[:reach]], head[: min(p + 1, len(head))][is_often[: min(p + 1, len(head))]] if dense else head[:0], reach, int(is_often[:reach].sum()), dense))
-            yield pd.DataFrame(rows, columns=["node", "n", "rare", "often", "reach", "f", "dense"])
-
-    return reps.mapInPandas(split, "node long, n long, rare array<long>, often array<long>, reach long, f long, dense boolean")
+def may_link(percent: int) -> Column:
+    """Rows (n, at) and (np, atp) of a bucket: the most that their sets can share, if this is the first token they share."""
+    most = F.least(F.col("n") - F.col("at"), F.col("np") - F.col("atp"))
+    return (100 + percent) * most >= percent * (F.col("n") + F.col("np"))
 
 
-def rare_pairs(idx: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that share a rare prefix token and whose sizes and prefixes leave a link possible."""
-    rows = idx.select(F.explode("rare").alias("k"), "node", F.col("n").cast("int"), F.col("f").cast("int"), (F.col("n") - F.col("reach")).cast("int").alias("beyond"))
-    x, y = rows.alias("x"), rows.alias("y")  # one exchange serves both sides
-    pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.node") < F.col("y.node")) & sizes_fit("x.n", "y.n", percent))
-    of = [F.max(f"{s}.{c}").alias(f"{c}_{s}") for c in ("n", "f", "beyond") for s in "xy"]
-    met = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("met"), *of)
-    most = F.col("met") + F.least("f_x", "f_y") + F.greatest("beyond_x", "beyond_y")
-    return met.where((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y"))).select("a", "b")
+def crossed(rows: DataFrame) -> DataFrame:
+    """Rows (k, node, n, at, alone, c) of the buckets that hold nodes of several components."""
+    return rows.join(rows.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k"), "k")
 
 
-def frequent_rows(idx: DataFrame, percent: int) -> DataFrame:
-    """(k, l, node, n): single frequent tokens (l null) of large dense sets, combinations of two of small ones."""
-    dense = idx.where("dense")
-    singles = dense.where(F.col("n") > COMBINE).select(F.explode("often").alias("k"), F.lit(0).cast("long").alias("l"), "node", "n")
-    small = dense.where(F.col("n") * percent <= COMBINE * 100).select(F.posexplode("often").alias("i", "k"), "often", "node", "n")
-    return singles.union(small.select("k", F.explode(F.expr("slice(often, i + 2, size(often))")).alias("l"), "node", "n"))
+def with_pivots(rows: DataFrame, pivots: int, percent: int) -> DataFrame:
+    """(a, b): the nodes of a bucket with the best node of each of its ``pivots`` parts."""
+    part = F.pmod(F.xxhash64("c", F.lit(pivots)), F.lit(pivots))
+    best = rows.groupBy("k", part.alias("part")).agg(F.min(F.struct((F.col("alone") * 1000 / F.col("n")).cast("int").alias("share"), "node", "n", "at", "c")).alias("p"))
+    best = best.select("k", F.col("p.node").alias("nodep"), F.col("p.n").alias("np"), F.col("p.at").alias("atp"), F.col("p.c").alias("cp"))
+    return rows.join(best, "k").where((F.col("c") != F.col("cp")) & may_link(percent)).select(*ordered("node", "nodep")).distinct()
 
 
-def crossing(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of frequent buckets that cross components: nodes outside the largest component against all of the bucket."""
-    rows = rows.join(labels, F.col("node") == F.col("id"), "left").select("k", "l", "node", "n", F.coalesce("component", "node").alias("c"))
-    each = rows.groupBy("k", "l", "c").agg(F.count("*").alias("m"))
-    top = each.groupBy("k", "l").agg(F.max(F.struct("m", "c")).getField("c").alias("top"), F.count("*").alias("cs")).where("cs > 1").select("k", "l", "top")
-    rest = rows.join(top, ["k", "l"]).where("c <> top").select("k", "l", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    return rows.join(rest, ["k", "l"]).where((F.col("c") != F.col("cx")) & sizes_fit("n", "nx", percent)).select(*ordered("node", "x")).distinct()
+def all_crossing(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every pair of a bucket that crosses components and may link."""
+    other = rows.select("k", F.col("node").alias("nodep"), F.col("n").alias("np"), F.col("at").alias("atp"), F.col("c").alias("cp"))
+    return rows.join(other, "k").where((F.col("c") < F.col("cp")) & may_link(percent)).select(*ordered("node", "nodep")).distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
-    y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "tokens_a", "tokens_b")
-    return both.mapInPandas(lambda it: linked(it, percent), "a long, b long")
+def node_labels(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, labels): verified links that make the components, and (id, component) of the nodes that have links."""
+    sets = nodes.where("tokens IS NOT NULL").select(F.col("id").alias("node"), "tokens")
+    rows = nodes.where("tokens IS NOT NULL").select(F.explode(F.arrays_zip("keys", "at")).alias("x"), F.col("id").alias("node"), "n", "alone")
+    rows = cut(crossed(rows.select(F.col("x.keys").alias("k"), "node", "n", F.col("x.at").cast("long").alias("at"), "alone", F.col("node").alias("c"))), "index")
+    tested = links = labels = None
+    for step in (1, PIVOTS, None):
+        at = rows
+        if labels is not None:
+            at = rows.drop("c").join(labels, F.col("node") == F.col("id"), "left").withColumn("c", F.coalesce("component", "node")).drop("id", "component")
+            at = cut(crossed(at), "index")
+            release(rows)
+            rows = at
+        pairs = all_crossing(at, percent) if step is None else with_pivots(at, step, percent)
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = cut(verified(pairs, sets, percent), "links")
+        tested = pairs if tested is None else tested.union(pairs)
+        links = found if links is None else links.union(found)
+        if labels is None or not found.isEmpty():
+            labels = components(links)
+    release(rows)
+    return links, labels
 
 
 def classes(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    heads = cut(docs.mapInPandas(lambda it: signatures(it, n_words, percent), SIG), "heads")
-    reps = cut(heads.where("doc_id IS NOT NULL AND n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("node"), F.first("head").alias("head")), "nodes")
-    sig = cut(heads.drop("head"), "sets")
-    whole = sig.where("doc_id IS NOT NULL AND n > 0")
-    release(heads)
-    same = cut(reps.select(F.col("sid").alias("sid_of"), "node"), "same")
-    idx = cut(index(reps.select("node", "n", "head"), frequent_tokens(reps, percent), percent), "index")
-    release(reps)
-    pairs = cut(rare_pairs(idx, percent), "pairs")
-    often = cut(frequent_rows(idx, percent), "often")
-    release(idx)
-    low = often.groupBy("k", "l").agg(F.min(F.struct("node", "n")).alias("low")).select("k", "l", "low.node", "low.n").toDF("k", "l", "x", "nx")
-    stars = often.join(low, ["k", "l"]).where((F.col("node") != F.col("x")) & sizes_fit("n", "nx", percent)).select(*ordered("node", "x"))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(often.select("node")).distinct()
-    nodes = F.broadcast(nodes) if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else nodes
-    texts = docs.join(nodes, F.col("doc_id") == F.col("node")).select("node", "text")
-    sets = texts.mapInPandas(lambda it: packed_sets(it, n_words), "node long, tokens binary")
-    repeated = not whole.groupBy("doc_id").count().where("count > 1").isEmpty()
-    sets = cut(sets.dropDuplicates(["node", "tokens"]) if repeated else sets, "tokens")
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars).distinct()
-    links = cut(verified(first, sets, percent), "links")
-    labels = components(links)
-    of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = cut(verified(left.union(crossing(often, labels, percent)).distinct(), sets, percent), "links")
-    release(sets, pairs, often)
-    copies = whole.join(same, F.col("sid") == F.col("sid_of")).where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    if not more.isEmpty():
-        labels = components(links.union(more))
-    # a copy takes its node's component; a doc_id of several rows can tie nodes together, so ties go through components again
-    many = whole.groupBy("doc_id").agg(F.count_distinct("sid").alias("m")).where("m > 1")
-    if not many.isEmpty():
-        labels = components(links.union(more).union(copies))
-        named = sig.join(labels, F.col("doc_id") == F.col("id"), "left")
-    else:
-        node_of = copies.select(F.col("b").alias("copy"), F.col("a").alias("node")).distinct()
-        named = sig.join(node_of, F.col("doc_id") == F.col("copy"), "left").withColumn("at", F.coalesce("node", "doc_id"))
-        named = named.join(labels, F.col("at") == F.col("id"), "left").withColumn("component", F.coalesce("component", "at"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNotNull().alias("named"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+    nodes = cut(cell_nodes(keyed.where("text IS NOT NULL"), n_words, percent), "nodes")
+    links, labels = node_labels(nodes, percent)
+    told = nodes.select("h1", "h2", F.col("id").alias("node"), "named", "n").join(labels, F.expr("named AND node = id"), "left")
+    told = told.select("h1", "h2", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("component"))
+    out = keyed.where("text IS NOT NULL").select("doc_id", "h1", "h2").join(told, ["h1", "h2"])
+    out = out.unionByName(keyed.where("text IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles")), allowMissingColumns=True)
+    many = keyed.where("named AND text IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo <> hi")
+    if not many.isEmpty():  # a doc_id of several texts ties their nodes together
+        ties = out.where("doc_id IS NOT NULL AND component IS NOT NULL").select(F.col("component").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+        labels = components(links.union(ties.distinct()))
+        out = out.drop("component").join(labels, F.col("doc_id") == F.col("id"), "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def dedup(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
