@@ -8,12 +8,17 @@ transformation of the log.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROUNDS = 100
+from ..storage import cut, release
+
+#: Up to so many edges, counted first, a closure is walked in one task; beyond that in rounds of joins.
+WALK_EDGES = 500_000
 
 
 def first_write(events: DataFrame, keys: list[str] = ["project_id", "idempotency_key"]) -> DataFrame:
@@ -108,36 +113,65 @@ def sound_sources(nodes: DataFrame, now: Column, point: Column | None = None, so
     return closure(sound, pending.select(F.col("parent").alias("src"), F.col("event_id").alias("dst")), "sound_id")
 
 
+def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Ids reached from the rows without src along the others."""
+    after = defaultdict(list)
+    for src, dst in pdf.loc[pdf["src"].notna(), ["src", "dst"]].itertuples(index=False):
+        after[src].append(dst)
+    todo = pdf.loc[pdf["src"].isna(), "dst"].drop_duplicates().tolist()
+    seen = set(todo)
+    while todo:
+        for dst in after.get(todo.pop(), ()):
+            if dst not in seen:
+                seen.add(dst)
+                todo.append(dst)
+    return pd.DataFrame({"id": list(seen)}, dtype=object)
+
+
 def closure(start: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """All ids that edges (src, dst) reach from start (one column); a recursive query whose paths end at cycles."""
-    spark = start.sparkSession
-    start.toDF("id").createOrReplaceTempView("_closure_start")
-    edges.createOrReplaceTempView("_closure_edges")
-    return spark.sql(
-        """WITH RECURSIVE reach(id, path) AS (
-             SELECT id, array(id) FROM _closure_start
-             UNION ALL
-             SELECT e.dst, concat(r.path, array(e.dst)) FROM reach r JOIN _closure_edges e ON e.src = r.id WHERE NOT array_contains(r.path, e.dst)
-           ) SELECT DISTINCT id FROM reach"""
-    ).toDF(name)
-
-
-def lineage_edges(events: DataFrame, facts: DataFrame, project: str) -> DataFrame:
-    """src -> dst where dst falls with src: derived events, derived facts' assertions, siblings of one candidate."""
-    e = events.where(F.col("project_id") == project)
-    derived = e.where(F.coalesce("source_event_id", F.lit("")) != "").select(F.col("source_event_id").alias("src"), F.col("event_id").alias("dst"))
-    asserted = facts.where((F.col("project_id") == project) & (F.coalesce("source_event_id", F.lit("")) != "")).select(F.col("source_event_id").alias("src"), F.col("assertion_event_id").alias("dst"))
+    """All ids that edges (src, dst) reach from start (one column), each once, whatever cycles and diamonds there are.
+
+    A graph of at most ``WALK_EDGES`` edges is walked in one task, however deep it is. In a larger one each round joins
+    the ids found last with the edges, keeps those not seen before and writes them; it ends when there are none.
+    """
+    start = start.toDF("id").where("id IS NOT NULL").distinct()
+    edges = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst")
+    if edges.limit(WALK_EDGES + 1).count() <= WALK_EDGES:
+        hit = start.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_semi")  # bounded by the edges
+        rows = edges.union(hit.select(F.lit(None).cast("string"), "id")).withColumn("one", F.lit(1))
+        return start.union(rows.groupBy("one").applyInPandas(walk, "id string")).distinct().toDF(name)
+    edges = cut(edges.distinct(), "edges")
+    seen = last = cut(start, "reached")
+    while True:
+        step = edges.join(last, edges.src == last.id).select(F.col("dst").alias("id")).distinct()
+        last = cut(step.join(seen, "id", "left_anti"), "reached")
+        if last.isEmpty():
+            break
+        seen = seen.union(last)
+    release(edges)
+    return seen.toDF(name)
+
+
+def lineage_edges(events: DataFrame, facts: DataFrame) -> DataFrame:
+    """(project_id, src, dst) where dst falls with src: derived events, derived facts' assertions, siblings of one candidate."""
+    derived = events.where(F.coalesce("source_event_id", F.lit("")) != "").select("project_id", F.col("source_event_id").alias("src"), F.col("event_id").alias("dst"))
+    asserted = facts.where(F.coalesce("source_event_id", F.lit("")) != "").select("project_id", F.col("source_event_id").alias("src"), F.col("assertion_event_id").alias("dst"))
     parts = F.split("idempotency_key", ":")
-    unit = e.where(F.col("idempotency_key").rlike("^candidate-(summary|fact):")).select(F.get(parts, 1).alias("unit"), "event_id")
-    hub = unit.select(F.concat(F.lit("candidate:"), "unit").alias("src"), F.col("event_id").alias("dst"))
-    return reduce(DataFrame.union, [derived, asserted, hub, hub.select(F.col("dst").alias("src"), F.col("src").alias("dst"))]).distinct()
+    unit = events.where(F.col("idempotency_key").rlike("^candidate-(summary|fact):")).select("project_id", F.concat(F.lit("candidate:"), F.get(parts, 1)).alias("unit"), "event_id")
+    return reduce(DataFrame.union, [derived, asserted, unit.select("project_id", "unit", "event_id"), unit.select("project_id", "event_id", "unit")]).distinct()
+
+
+def in_project(project: Column | str, key: Column | str) -> Column:
+    """An id together with its project, so that nothing is reached in another one."""
+    return F.concat_ws("\x1f", project, key)
 
 
 def lineage(events: DataFrame, facts: DataFrame, project: str, target_id: str) -> DataFrame:
     """(event_id) of the target (an event or a fact) and all that was derived from it, never of another project."""
     named = facts.where((F.col("project_id") == project) & (F.col("fact_id") == target_id)).select("assertion_event_id")
     start = named.union(events.where((F.col("project_id") == project) & (F.col("event_id") == target_id)).select("event_id")).distinct()
-    found = closure(start, lineage_edges(events, facts, project), "event_id")
+    edges = lineage_edges(events.where(F.col("project_id") == project), facts.where(F.col("project_id") == project))
+    found = closure(start, edges.select("src", "dst"), "event_id")
     return found.where(~F.col("event_id").startswith("candidate:"))
 
 
@@ -226,17 +260,13 @@ def rebuild(log: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     facts = derive_facts(events.where("kind = 'fact' AND fact_id IS NOT NULL").drop("status").withColumnRenamed("asserted_status", "status").withColumn("assertion_event_id", F.col("event_id")).withColumn("source_event_id", F.coalesce("source_event_id", "event_id")))
     targets = events.where("operation = 'retract'").select("project_id", "target_id")
     named = facts.select("project_id", F.col("fact_id").alias("target_id"), F.col("assertion_event_id").alias("id"))
-    start = targets.join(named, ["project_id", "target_id"]).select("id").union(targets.join(events, (events.event_id == targets.target_id) & (events.project_id == targets.project_id)).select(events.event_id.alias("id")))
-    began = facts.where((F.col("status") == "superseded") & (F.col("valid_to") <= now)).select("assertion_event_id", "project_id")
-    edges = None
-    for (project,) in events.select("project_id").distinct().toLocalIterator():
-        e = lineage_edges(events, facts, project)
-        edges = e if edges is None else edges.union(e)
-    if edges is None:
-        return events, facts
-    fallen = closure(start.distinct(), edges, "event_id")
-    below = edges.join(began, edges.src == began.assertion_event_id).where("src <> dst").select(F.col("dst").alias("id"))
-    return retract(events, facts, fallen.union(closure(below.distinct(), edges, "event_id")))
+    known = named.union(events.select("project_id", F.col("event_id").alias("target_id"), F.col("event_id").alias("id")))
+    start = targets.join(known, ["project_id", "target_id"]).select(in_project("project_id", "id"))
+    began = facts.where((F.col("status") == "superseded") & (F.col("valid_to") <= now)).select(in_project("project_id", "assertion_event_id").alias("_began"))
+    edges = lineage_edges(events, facts).select(in_project("project_id", "src").alias("src"), in_project("project_id", "dst").alias("dst"))
+    below = edges.join(began, edges.src == began["_began"], "left_semi").where("src <> dst").select("dst")
+    gone = closure(start, edges, "id").union(closure(below, edges, "id"))
+    return retract(events, facts, gone.select(F.substring_index("id", "\x1f", -1).alias("event_id")))
 
 
 def as_of(facts: DataFrame, point: Column) -> DataFrame:

@@ -142,6 +142,58 @@ def test_eligible(spark):
     assert seen(now=day(8), known=day(1)) == {"f1"}
 
 
+def reach(start, edges):
+    seen, todo = set(start), list(start)
+    while todo:
+        x = todo.pop()
+        for a, b in edges:
+            if a == x and b not in seen:
+                seen.add(b)
+                todo.append(b)
+    return seen
+
+
+def closed(spark, start, edges):
+    ids = spark.createDataFrame([(x,) for x in start], "id string")
+    return [r.id for r in memory.closure(ids, spark.createDataFrame(edges, "src string, dst string"), "id").collect()]
+
+
+@pytest.mark.parametrize("bound", [None, 3])
+def test_closure(spark, monkeypatch, bound):
+    """A chain, diamonds, a cycle of two, a self-loop, nulls, unreachable ids: in one task and by rounds of joins."""
+    if bound:
+        monkeypatch.setattr(memory, "WALK_EDGES", bound)
+    n = 5 if bound else 500
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(n)]
+    diamonds = [e for i in range(4 if bound else 30) for e in ((f"d{i}", f"x{i}"), (f"d{i}", f"y{i}"), (f"x{i}", f"d{i + 1}"), (f"y{i}", f"d{i + 1}"))]
+    edges = chain + diamonds + [("a", "b"), ("b", "a"), ("s", "s"), ("u", "v"), ("c0", "c1")]
+    start = ["c0", "d0", "a", "s", "alone"]
+    got = closed(spark, start, edges + [(None, "c0"), ("c0", None)])
+    assert set(got) == reach(start, edges) and len(got) == len(set(got))
+    assert closed(spark, start, []) and closed(spark, [], edges) == []
+
+
+def test_closure_of_a_wide_graph(spark):
+    from pyspark.sql import functions as F
+
+    edges = spark.range(2_000_000).select(F.lit("hub").alias("src"), F.col("id").cast("string").alias("dst"))
+    assert memory.closure(spark.createDataFrame([("hub",)], "id string"), edges, "id").count() == 2_000_001
+
+
+def test_rebuild_stays_in_its_project(spark):
+    """A retraction takes what was derived from its target, and nothing of the same name elsewhere."""
+    rows = [("a1", "p", "e", "", None, None), ("a2", "p", "e", "a1", None, None), ("b1", "q", "e", "a1", None, None), ("r1", "p", "e", "", "retract", "a1"), ("r2", "q", "e", "", "retract", "a1")]
+    log = [(e, p, "global", p, k, e, "", "", f"2024-01-0{i + 1} 00:00:00", f"2024-01-0{i + 1} 00:00:00", s, f"key-{e}", o, t) for i, (e, p, k, s, o, t) in enumerate(rows)]
+    names = "event_id project_id scope scope_id kind title tags body observed_at recorded_at source_event_id idempotency_key operation target_id".split()
+    df = spark.createDataFrame(log, ", ".join(f"{n} string" for n in names))
+    for c in ("observed_at", "recorded_at"):
+        df = df.withColumn(c, df[c].cast("timestamp"))
+    for c, t in (("fact_id", "string"), ("fact_key", "string"), ("value_json", "string"), ("asserted_status", "string"), ("valid_from", "timestamp"), ("valid_to", "timestamp"), ("expires_at", "timestamp"), ("supersedes", "string"), ("confidence", "double")):
+        df = df.selectExpr("*", f"CAST(NULL AS {t}) AS {c}")
+    events, _ = memory.rebuild(df, df["recorded_at"])
+    assert {r.event_id: r.status for r in events.collect()} == {"a1": "retracted", "a2": "retracted", "b1": "active", "r1": "active", "r2": "active"}
+
+
 def test_lineage_and_retraction(spark):
     events, facts = log(spark)
     gone = memory.lineage(events, facts, "p", "e5")
