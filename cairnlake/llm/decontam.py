@@ -9,7 +9,8 @@ item and a diagonal. There the tokens are compared: a document is contaminated i
 item (of the whole item if that is shorter) has at least ``SHARE`` percent of them in the same places.
 
 The benchmark side is broadcast only up to ``BROADCAST_SEEDS`` seeds, counted first; beyond that the join is shuffled.
-Tokens are lower-cased runs of letters and digits, so case and punctuation make no difference.
+Documents are read again for the comparison by the ids that have hits, which are counted: up to ``BROADCAST_IDS`` they are
+broadcast, so that only these documents move; beyond that their texts are joined by a shuffle. Tokens are lower-cased runs of letters and digits, so case and punctuation make no difference.
 
 Defined cases: null, empty or blank texts contaminate and are contaminated by nothing; items of 1 to 4
 tokens flag every document that has them verbatim; repeated rows are flagged alike; a null doc_id or item_id takes part in
@@ -23,11 +24,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, release
+
 # Kept positions.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 2, 5, 6, 7, 8))
 WINDOW = 13
 SHARE = 80
 BROADCAST_SEEDS = 500_000
+BROADCAST_IDS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -55,6 +59,11 @@ def seeded(rows: DataFrame, masks: list[tuple[int, ...]], *keep: str) -> DataFra
     return rows.select(*keep, F.explode(every).alias("m")).select(*keep, "m.mask", F.posexplode("m.found").alias("at", "seed"))
 
 
+def small(rows: DataFrame, most: int) -> DataFrame:
+    """rows, to be broadcast if there are no more than ``most``."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, shift) where a document and an item share a seed; docs and items have tokens t."""
     short = {n: short_masks(n) for (n,) in items.select(F.size("t")).where(F.size("t") < WINDOW).distinct().collect()}  # fewer than WINDOW rows
@@ -63,34 +72,52 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     for n, found in sorted(short.items()):
         whole = [F.struct(F.lit(masks.index(m)).alias("mask"), F.lit(at).alias("item_at"), F.xxhash64(*[F.get("t", F.lit(at + p)) for p in m]).alias("seed")) for at, m in found]
         theirs = theirs.union(items.where(F.size("t") == n).select("item_id", F.inline(F.array(*whole))))
-    theirs = theirs.distinct()
-    if theirs.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
-        theirs = F.broadcast(theirs)
+    theirs = small(theirs.distinct(), BROADCAST_SEEDS)
     ours = seeded(docs, masks, "doc_id")
     return ours.join(theirs, ["seed", "mask"]).select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
 
-def best_window() -> Column:
+def best_window(shift: Column) -> Column:
     """Most equal tokens in a window, of item tokens i against document tokens t moved by shift."""
     n = F.size("i")
-    same = F.transform("i", lambda x, k: F.when(F.get("t", k + F.col("shift")) == x, 1).otherwise(0))
+    same = F.transform("i", lambda x, k: F.when(F.get("t", k + shift) == x, 1).otherwise(0))
     w = F.least(n, F.lit(WINDOW))
     return F.array_max(F.transform(F.sequence(F.lit(0), n - w), lambda s: F.aggregate(F.slice(same, s + 1, w), F.lit(0), lambda a, b: a + b)))
 
 
-def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_same, n_window): each contaminated pair with its best window."""
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+def hit_lists(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, shifts), written: a pair's distinct shifts, of which there are no more than it has tokens."""
     found = hits(docs.select("doc_id", tokens(F.col("text")).alias("t")), items)
-    both = found.join(items.select("item_id", F.col("t").alias("i")), "item_id").join(docs.select("doc_id", tokens(F.col("text")).alias("t")), "doc_id")
+    return cut(found.groupBy("doc_id", "item_id").agg(F.collect_list("shift").alias("shifts")), "hits")
+
+
+def compared(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_same, n_window): each contaminated pair with its best window."""
+    texts = docs.join(small(found.select("doc_id").distinct(), BROADCAST_IDS), "doc_id", "left_semi")
+    both = found.join(items.select("item_id", F.col("t").alias("i")), "item_id").join(texts.select("doc_id", tokens(F.col("text")).alias("t")), "doc_id")
     w = F.least(F.size("i"), F.lit(WINDOW))
-    pairs = both.select("doc_id", "item_id", best_window().alias("n_same"), w.alias("n_window")).where(F.col("n_same") * 100 >= F.col("n_window") * SHARE)
+    best = F.array_max(F.transform("shifts", best_window))
+    pairs = both.select("doc_id", "item_id", best.alias("n_same"), w.alias("n_window")).where(F.col("n_same") * 100 >= F.col("n_window") * SHARE)
     return pairs.groupBy("doc_id", "item_id").agg(F.max("n_same").cast("long").alias("n_same"), F.max("n_window").cast("long").alias("n_window"))
 
 
+def sides(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    items = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    return docs, items
+
+
+def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_same, n_window): each contaminated pair with its best window."""
+    docs, items = sides(docs, items)
+    return compared(docs, items, hit_lists(docs, items))
+
+
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that share no window with an item, with their own columns."""
-    bad = overlaps(docs, items).select(F.col("doc_id").alias("bad_id")).distinct()
+    ours, theirs = sides(docs, items)
+    found = hit_lists(ours, theirs)
+    bad = cut(compared(ours, theirs, found).select(F.col("doc_id").alias("bad_id")).distinct(), "flagged")
+    release(found)
     row = docs.select(F.col("doc_id").cast("long").alias("bad_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return row.join(bad, "bad_id", "left_anti").select("row.*")
+    return row.join(small(bad, BROADCAST_IDS), "bad_id", "left_anti").select("row.*")
