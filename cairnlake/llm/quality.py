@@ -12,15 +12,16 @@ gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, release
+from .common import cut
 
 # Frequent function words of each language.
 COMMON = {
@@ -105,41 +106,41 @@ def measure(text: str | None, lang: str | None) -> tuple:
     )
 
 
-def measured(batch: pa.RecordBatch) -> Iterator[tuple]:
+def measures(batch: pa.RecordBatch) -> pa.StructArray:
     """The measures of each row's text, one text in Python at a time."""
     at = batch.schema.names.index
-    for text, lang in zip(batch.column(at("text")), batch.column(at("lang"))):
-        yield measure(text.as_py(), lang.as_py())
+    columns = list(zip(*[measure(text.as_py(), lang.as_py()) for text, lang in zip(batch.column(at("text")), batch.column(at("lang")))]))
+    kinds = [pa.int64()] * len(COUNTS) + [pa.list_(pa.int64())] * len(HISTOGRAMS)
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], FEATURES.names)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the measures of each row; one row in, one row out."""
-    names = [f.name for f in FEATURES.fields]
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), *FEATURES.fields])
+def with_measures(docs: DataFrame, name: str, without: str = "") -> DataFrame:
+    """The rows with their measures as a struct; one row in, one row out. A column can be left behind."""
+    columns = [c for c in docs.columns if c != without]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = [batch.schema.names.index(c) for c in columns]
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                columns = list(zip(*measured(part)))
-                kinds = [pa.int64()] * len(COUNTS) + [pa.list_(pa.int64())] * len(HISTOGRAMS)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["doc_id", "lang", *names])
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in at], measures(part)], [*columns, name])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([f for f in docs.schema.fields if f.name != without] + [T.StructField(name, FEATURES)]))
 
 
 def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > 50 * n_words
 
 
-def references(feats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def references(measured: DataFrame, name: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """language -> (character classes, common words) summed over its documents that pass the base rules.
 
     One row for each listed language and OTHER comes to the driver, no more.
     """
     lang = F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise(F.lit(OTHER)).alias("ref")
-    sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(N_CLASSES)] + [F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(WIDTH)]
-    sound = feats.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words")))
+    m = F.col(name)
+    sums = [F.sum(m["chars"][i]).alias(f"c{i}") for i in range(N_CLASSES)] + [F.sum(m["common"][i]).alias(f"w{i}") for i in range(WIDTH)]
+    sound = measured.where((m["n_words"] >= MIN_WORDS) & (100 * m["n_repeat_words"] <= 50 * m["n_words"]))
     return {r[0]: (np.array(r[1 : 1 + N_CLASSES], float), np.array(r[1 + N_CLASSES :], float)) for r in sound.groupBy(lang).agg(*sums).collect()}
 
 
@@ -153,7 +154,7 @@ def distance(a: np.ndarray, b: np.ndarray) -> float:
     return max(0.0, (part(a) + part(b)) / 2) ** 0.5
 
 
-def judge(m: tuple, lang: str | None, refs: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[bool, bool, float, float]:
+def judge(m: Sequence, lang: str | None, refs: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[bool, bool, float, float]:
     """(base_failed, kept, char_js, word_js) of measures; the one verdict of the query and of the pipeline."""
     failed = base_failed(m[0], m[4])
     ref = refs.get(lang if lang in COMMON else OTHER)
@@ -162,36 +163,32 @@ def judge(m: tuple, lang: str | None, refs: dict[str, tuple[np.ndarray, np.ndarr
     return failed, not failed and not strange, char_js, word_js
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """One row per document with the base counts, the verdict and the distances."""
-    feats = cut(features(docs), "quality")
-    refs = references(feats)
-    names = ["doc_id", *COUNTS, "base_failed", "kept", "char_js", "word_js"]
+def verdict(refs: dict[str, tuple[np.ndarray, np.ndarray]]) -> Callable[[Column, Column], Column]:
+    """(measures, lang) -> base_failed, kept, char_js, word_js; only measures go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                part = batch.slice(i, SLICE)
-                rows = [judge(tuple(c[k].as_py() for c in part.columns[2:]), part.column(1)[k].as_py(), refs) for k in range(part.num_rows)]
-                failed, kept, char_js, word_js = zip(*rows)
-                told = [pa.array(failed), pa.array(kept), pa.array([round(x, 6) for x in char_js]), pa.array([round(x, 6) for x in word_js])]
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2 : 2 + len(COUNTS)], *told], names)
+    @F.pandas_udf("base_failed boolean, kept boolean, char_js double, word_js double")
+    def told(m: pd.DataFrame, lang: pd.Series) -> pd.DataFrame:
+        rows = [judge(x, g, refs) for *x, g in zip(*[m[c] for c in FEATURES.names], lang)]
+        return pd.DataFrame(rows, columns=["base_failed", "kept", "char_js", "word_js"]).round(6)
 
-    return feats.mapInArrow(run, ", ".join(f"{c} long" for c in names[:6]) + ", base_failed boolean, kept boolean, char_js double, word_js double")
+    return told
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns. No document is shuffled: the references are a few rows."""
-    feats = cut(features(docs), "quality")
-    refs = references(feats)
-    release(feats)
+def quality(docs: DataFrame) -> DataFrame:
+    """One row per document with the base counts, the verdict and the distances."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    rows = cut(with_measures(slim, "m", without="text"), "quality")
+    told = rows.withColumn("v", verdict(references(rows, "m"))(F.col("m"), F.col("lang")))
+    return told.select("doc_id", *[f"m.{c}" for c in COUNTS], "v.base_failed", "v.kept", "v.char_js", "v.word_js")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.names.index("lang")
-            for i in range(0, batch.num_rows, SLICE):
-                part = batch.slice(i, SLICE)
-                mask = [judge(m, lang.as_py(), refs)[1] for m, lang in zip(measured(part), part.column(at))]
-                yield part.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+def keep(docs: DataFrame) -> DataFrame:
+    """The documents that pass, with their own columns.
+
+    Texts are measured once, as the documents are written with their measures; no document is shuffled: the references
+    are a few rows.
+    """
+    name = "m" + "_" * max(map(len, docs.columns))
+    rows = cut(with_measures(docs, name), "quality")
+    told = verdict(references(rows, name))(F.col(name), F.col("lang"))
+    return rows.where(told["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
