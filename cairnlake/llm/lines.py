@@ -5,8 +5,10 @@
    aggregation with partial sums, so that a very common line sends one row a task.
 2. Keys found in at least ``min_docs`` documents go, by hash, to shards of about ``SHARD_KEYS`` keys. Each shard gets a
    minimal perfect hash (levels of bit arrays) and three arrays in its order: fingerprint, count, largest doc_id.
-3. The documents' keys are dealt to (shard, salt) and probe the arrays. A shard's arrays go to each of ``SALTS`` salts,
-   so the rows of a very common line are spread over as many groups. Lines are joined with nothing.
+3. The documents' keys are dealt to (shard, salt) and probe the arrays. A shard has as many salts as its lines need at
+   ``GROUP`` lines each: its share of all counting lines (of which there are no more than bytes / min_chars) and the
+   counts of its repeated keys, so a very common line is spread over many groups. Lines are joined with nothing.
+4. A document drops the places of its lines that were found, by a difference of sorted lists of places.
 
 Defined cases: null or empty text is one empty line; a null doc_id takes part in nothing and its row comes back as it
 is; rows that share a doc_id count as one document and all lose their lines; other columns pass through ``dedup``.
@@ -26,7 +28,7 @@ from .common import cut, mix
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
 SHARD_KEYS = 50_000
 MIN_SHARDS = 16
-SALTS = 32
+GROUP = 200_000
 GAMMA = 2
 
 
@@ -39,10 +41,10 @@ def key_of(line: Column) -> Column:
 
 
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, h1, h2), a row for each distinct counting key of a document row."""
-    keys = F.array_distinct(F.filter(F.transform(F.split(text_of(F.col("text")), "\n"), key_of), lambda k: F.length(k) >= min_chars))
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.explode(keys).alias("k"))
-    return rows.select("doc_id", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), F.col("k")).alias("h2"))
+    """(doc_id, text_hash, at, h1, h2), a row for each counting line of a document row; at is its place."""
+    keys = F.transform(F.split(text_of(F.col("text")), "\n"), key_of)
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(keys).alias("at", "k")).where(F.length("k") >= min_chars)
+    return rows.select("doc_id", "text_hash", "at", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(1), F.col("k")).alias("h2"))
 
 
 def build(h: np.ndarray) -> tuple[list[bytes], np.ndarray]:
@@ -78,54 +80,65 @@ def find(levels: list[bytes], h: np.ndarray) -> np.ndarray:
     return index
 
 
+def folded(h1: np.ndarray, h2: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits of both hashes; the seed makes those of a shard's keys distinct."""
+    h1, h2 = h1.astype(np.uint64), h2.astype(np.uint64)
+    return mix(h1 + np.uint64(seed)) ^ h2 if seed else h1
+
+
 def shard_index(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.drop_duplicates("h1")  # a second line of the same h1 and another h2 would need 2^64 luck; it stays
-    levels, at = build(pdf["h1"].to_numpy().astype(np.uint64))
+    h1, h2, seed = pdf["h1"].to_numpy(), pdf["h2"].to_numpy(), 0
+    while len(np.unique(h := folded(h1, h2, seed))) < len(pdf):
+        seed += 1
+    levels, at = build(h)
     put = lambda c, kind: (lambda a: (a.__setitem__(at, pdf[c].to_numpy()), a.tobytes())[1])(np.empty(len(pdf), kind))
-    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "levels": [levels], "prints": [put("h2", np.int64)], "counts": [put("n", np.int64)], "lasts": [put("last", np.int64)]})
+    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "seed": [seed], "levels": [levels], "prints": [put("h2", np.int64)], "counts": [put("n", np.int64)], "lasts": [put("last", np.int64)]})
 
 
 def probe(lines: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    out = lines[["doc_id", "h1"]]
+    out = lines[["doc_id", "text_hash", "at"]] if len(lines) else pd.DataFrame(columns=["doc_id", "text_hash", "at"])
     if not len(lines) or not len(index):
         return out.iloc[:0]
     x = index.iloc[0]
-    at = find(list(x["levels"]), lines["h1"].to_numpy().astype(np.uint64))
+    at = find(list(x["levels"]), folded(lines["h1"].to_numpy(), lines["h2"].to_numpy(), int(x["seed"])))
     prints, counts, lasts = (np.frombuffer(x[c], np.int64) for c in ("prints", "counts", "lasts"))
     member = (at >= 0) & (prints[at] == lines["h2"].to_numpy()) & (counts[at] > 0)
     return out[member & (lasts[at] != lines["doc_id"].to_numpy())]
 
 
 def drops(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """(drop_id, drop_keys): the first hashes of the keys whose lines the document loses."""
+    """(drop_id, drop_hash, drop_at): the places of the lines that the document loses."""
     keys = line_keys(docs, min_chars)
     found = keys.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
     hot = cut(found.where(F.col("n") >= min_docs), "lines")
+    most = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // min_chars  # lines that count
     shards = max(MIN_SHARDS, hot.count() // SHARD_KEYS + 1)
-    shard = F.pmod(F.col("h2"), F.lit(shards)).alias("shard")
-    index = hot.select(shard, "h1", "h2", "n", "last").groupBy("shard").applyInPandas(shard_index, "shard long, levels array<binary>, prints binary, counts binary, lasts binary")
-    index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    lines = keys.select(shard, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), "doc_id", "h1", "h2")
-    gone = lines.groupBy("shard", "salt").cogroup(index.groupBy("shard", "salt")).applyInPandas(probe, "doc_id long, h1 long")
-    return gone.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("h1").alias("drop_keys"))
+    hot = hot.select(F.pmod(F.col("h2"), F.lit(shards)).alias("shard"), "h1", "h2", "n", "last")
+    salts = hot.groupBy("shard").agg((1 + (F.sum("n") + most // shards) / GROUP).cast("int").alias("salts"))
+    index = hot.groupBy("shard").applyInPandas(shard_index, "shard long, seed long, levels array<binary>, prints binary, counts binary, lasts binary")
+    index = index.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    lines = keys.withColumn("shard", F.pmod(F.col("h2"), F.lit(shards))).join(F.broadcast(salts), "shard")  # a row for SHARD_KEYS repeated lines
+    lines = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.col("salts")).cast("int")).drop("salts")
+    gone = lines.groupBy("shard", "salt").cogroup(index.groupBy("shard", "salt")).applyInPandas(probe, "doc_id long, text_hash long, at int")
+    return gone.groupBy(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_hash")).agg(F.collect_list("at").alias("drop_at"))
 
 
-def kept_lines(min_chars: int) -> Column:
-    """The lines that stay, of rows with columns text and drop_keys."""
-    out = lambda x: F.array_contains(F.col("drop_keys"), F.xxhash64(key_of(x))) & (F.length(key_of(x)) >= min_chars)
-    return F.filter(F.split(text_of(F.col("text")), "\n"), lambda x: ~out(x))
+def kept_lines() -> Column:
+    """The lines that stay, of rows with columns text and drop_at; the difference is by hash."""
+    lines = F.split(text_of(F.col("text")), "\n")
+    return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop_at")), lambda i: F.get(lines, i))
 
 
 def with_drops(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.join(drops(ids, min_chars, min_docs), F.col("doc_id") == F.col("drop_id"), "left")
+    return docs.join(drops(ids, min_chars, min_docs), (F.col("doc_id") == F.col("drop_id")) & (F.xxhash64("text") == F.col("drop_hash")), "left")
 
 
 def dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """The documents with their own columns, text without the dropped lines, n_chars to match."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     slim = docs.select("doc_id", "text", row.alias("row"))
-    text = F.when(F.col("drop_keys").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(min_chars), "\n"))
+    text = F.when(F.col("drop_at").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(), "\n"))
     out = with_drops(slim, min_chars, min_docs).select("row", text.alias("kept"))
     fresh = {"text": F.col("kept"), "n_chars": F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(F.length("kept").cast("long")) if "n_chars" in docs.columns else None}
     return out.select(*[(fresh[c] if fresh.get(c) is not None else F.col("row").getField(c)).alias(c) for c in docs.columns])
@@ -134,7 +147,7 @@ def dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
 def digest(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every document."""
     df = with_drops(docs.select("doc_id", "text"), min_chars, min_docs)
-    df = df.withColumn("lines", F.split(text_of(F.col("text")), "\n")).withColumn("stay", F.when(F.col("drop_keys").isNotNull(), kept_lines(min_chars)))
+    df = df.withColumn("lines", F.split(text_of(F.col("text")), "\n")).withColumn("stay", F.when(F.col("drop_at").isNotNull(), kept_lines()))
     n = F.size("lines").cast("long")
     return df.select(
         "doc_id",
