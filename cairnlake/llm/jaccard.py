@@ -214,13 +214,17 @@ def node_labels(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             at = cut(crossed(at), "index")
             release(rows)
             rows = at
+            if rows.isEmpty():
+                break
         pairs = all_crossing(at, percent) if step is None else with_pivots(at, step, percent)
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = cut(verified(pairs, sets, percent), "links")
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
-        if labels is None or not found.isEmpty():
-            labels = components(links)
+        if labels is None:
+            labels = components(found)
+        elif not found.isEmpty():  # what is known are stars already
+            labels = components(found.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
     release(rows)
     return links, labels
 
