@@ -12,8 +12,9 @@ Wanted: every byte covered by a ``MATCH``-byte string that also starts in a docu
 4. A bucket collapses equal run texts, splits the others over ``SHARDS``, sorts each shard's suffixes and takes its
    Burrows-Wheeler transform. The transforms are merged: the interleave, at first shard after shard, is refined one
    character a round by a stable distribution of the transforms' characters, and after MATCH rounds the suffixes without
-   a boundary between them are the intervals with a common prefix of MATCH bytes. No suffix is sorted anew. The smallest
-   doc_id of an interval goes back to the runs.
+   a boundary between them are the intervals with a common prefix of MATCH bytes. No suffix is sorted anew, and a round
+   takes only the suffixes from which it is still as many characters to a window's start as there are rounds to come. The
+   smallest doc_id of an interval goes back to the runs.
 5. Cells mark, for each document, the windows whose smallest doc_id is below its own, and digest what is left.
 
 A very common passage is one row a cell in steps 2 to 4, so no task gathers a group of copies.
@@ -74,18 +75,31 @@ def window_minima(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return joined(width - n) if width > n else (m, p)
 
 
-def runs_of(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, minimizer hash) of each run of texts that lie end to end, block by block.
+def text_hashes(grams: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64 bits of the whole text of each run, from the hashes of grams that cover it and its length.
+
+    A minimizer serves MATCH - GRAM + 1 windows at most, so a run has 4 * GRAM bytes at most.
+    """
+    last = first + sizes + MATCH - 1 - GRAM
+    h = sizes.astype(np.uint64)
+    for at in (first, np.minimum(first + GRAM, last), np.minimum(first + 2 * GRAM, last), last):
+        h = mix(h * np.uint64(BASE) + grams[at])
+    return h
+
+
+def runs_of(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, minimizer hash, text hash) of each run of texts that lie end to end, block by block.
 
     A window may not cross a text's end. A block's end may cut a run in two, which is harmless: both parts go to the
     minimizer's bucket.
     """
-    starts, sizes, hashes = [], [], []
+    starts, sizes, hashes, whole = [], [], [], []
     data = np.frombuffer(raw, np.uint8)
     windows = len(data) - MATCH + 1
     for lo in range(0, windows, BLOCK):
         hi = min(windows, lo + BLOCK)
-        m, p = window_minima(gram_hashes(data[lo : hi - 1 + MATCH]), MATCH - GRAM + 1)
+        grams = gram_hashes(data[lo : hi - 1 + MATCH])
+        m, p = window_minima(grams, MATCH - GRAM + 1)
         fits = np.ones(hi - lo, bool)
         inner = ends[np.searchsorted(ends, lo + 1) : np.searchsorted(ends, hi + MATCH)]
         for e in inner.tolist():  # windows from e - MATCH + 1 to e - 1 cross it
@@ -96,12 +110,14 @@ def runs_of(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
         first = np.flatnonzero(change)
         n = np.diff(np.append(first, hi - lo))
         keep = fits[first]
-        starts.append(first[keep] + lo)
-        sizes.append(n[keep])
-        hashes.append(m[first[keep]])
+        first, n = first[keep], n[keep]
+        starts.append(first + lo)
+        sizes.append(n)
+        hashes.append(m[first])
+        whole.append(text_hashes(grams, first, n))
     if not starts:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(sizes), np.concatenate(hashes)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    return np.concatenate(starts), np.concatenate(sizes), np.concatenate(hashes), np.concatenate(whole)
 
 
 class Cell:
@@ -113,12 +129,14 @@ class Cell:
         texts = [t.encode("utf-8", "surrogatepass") for t in pdf["text"]]
         self.raw, self.ends = b"".join(texts), np.cumsum([len(t) for t in texts], dtype=np.int64)
         self.begins = self.ends - [len(t) for t in texts]
-        self.start, self.size, self.hash = runs_of(self.raw, self.ends)
+        self.start, self.size, self.hash, self.whole = runs_of(self.raw, self.ends)
         self.doc = np.searchsorted(self.ends, self.start, side="right")
 
-    def text(self, run: int) -> bytes:
-        s = self.start[run]
-        return self.raw[s : s + self.size[run] + MATCH - 1]
+    def texts(self, runs: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """Sizes of the runs' texts, and the texts end to end."""
+        n = self.size[runs] + MATCH - 1
+        at = np.arange(n.sum()) + np.repeat(self.start[runs] - (np.cumsum(n) - n), n)
+        return n, np.frombuffer(self.raw, np.uint8)[at].tobytes()
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -185,11 +203,12 @@ def run_texts(buckets: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.
                 if b not in wanted:
                     continue
                 part = part[np.isin(low_bits(cell.hash[part]), wanted[b])]
-                texts: dict[bytes, int] = {}
-                for r in part.tolist():  # runs are in order of doc_id: the first has the smallest
-                    texts.setdefault(cell.text(r), r)
-                first = np.fromiter(texts.values(), np.int64, len(texts))
-                rows.append((b, key[0], first.astype(np.uint32).tobytes(), low_bits(cell.hash[first]).tobytes(), cell.ids[cell.doc[first]].tobytes(), np.array([len(t) for t in texts], np.uint32).tobytes(), b"".join(texts)))
+                if not len(part):
+                    continue
+                # runs are in order of doc_id: the first of a text has the smallest
+                first = part[np.unique(cell.whole[part], return_index=True)[1]]
+                sizes, texts = cell.texts(first)
+                rows.append((b, key[0], first.astype(np.uint32).tobytes(), low_bits(cell.hash[first]).tobytes(), cell.ids[cell.doc[first]].tobytes(), sizes.astype(np.uint32).tobytes(), texts))
         return pd.DataFrame(rows, columns=["bucket", "cell", "runs", "bits", "lows", "sizes", "texts"])
 
     return run
@@ -245,53 +264,73 @@ def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(order > 0, text[order - 1], 0).astype(np.uint8), order, np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[-1], ends])))
 
 
-def merged_groups(bwts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' suffixes sorted by ``depth`` characters, and the group of equal prefixes at each place.
+def merged_groups(bwts: list[np.ndarray], tails: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of the shards' suffixes that start a window of ``depth`` characters, sorted by these, and the group of
+    equal ones at each place.
 
     A place holds a suffix's number in the concatenation of the shards' own orders. Each round puts, by the character
     before them, the suffixes that are one longer; a shard's own order never changes, only how the shards interleave.
+    tails marks, in a shard's order, the suffixes that are ``depth`` characters behind a window's start: they come first,
+    in one group, and after ``depth`` rounds the windows' suffixes are what is left of them. Others never matter.
     """
-    longer, ended, base = [], [], 0
+    longer, base = [], 0
     for bwt in bwts:  # where each suffix's one-longer suffix stands in its own shard
         order = np.argsort(bwt, kind="stable")
         to = np.empty(len(bwt), np.int32)
         to[order] = np.arange(base, base + len(bwt), dtype=np.int32)
         longer.append(to)
-        ended.append(np.arange(base, base + int((bwt == 0).sum()), dtype=np.int32))
         base += len(bwt)
-    before, longer, ended = np.concatenate(bwts), np.concatenate(longer), np.concatenate(ended)
-    at, g = np.arange(base, dtype=np.int32), np.zeros(base, np.int32)
-    alone = np.arange(len(ended), dtype=np.int32)  # the ends come first, each a group of its own
+    before, longer = np.concatenate(bwts), np.concatenate(longer)
+    at = np.flatnonzero(np.concatenate(tails)).astype(np.int32)
+    g = np.zeros(len(at), np.int32)
     for _ in range(depth):
         chars = before[at]
-        order = np.argsort(chars, kind="stable")[len(ended) :]
+        order = np.argsort(chars, kind="stable")
         c, go = chars[order], g[order]
-        new = np.ones(len(order), bool)
+        new = np.zeros(len(order), bool)
         new[1:] = (c[1:] != c[:-1]) | (go[1:] != go[:-1])
-        at = np.concatenate([ended, longer[at[order]]])
-        g = np.concatenate([alone, np.cumsum(new, dtype=np.int32) + (len(ended) - 1)])
+        at, g = longer[at[order]], np.cumsum(new, dtype=np.int32)
     return at, g
 
 
 def smallest(texts: list[bytes], lows: np.ndarray) -> np.ndarray:
     """For each window of each text, end to end, the smallest low of a text that has the window."""
-    shards = [list(range(i, len(texts), SHARDS)) for i in range(min(SHARDS, len(texts)))]
+    shards = [np.arange(i, len(texts), SHARDS) for i in range(min(SHARDS, len(texts)))]
     made = [transform([texts[i] for i in s]) for s in shards]
-    at, g = merged_groups([m[0] for m in made], MATCH)
     sizes = np.array([len(t) for t in texts])
     begin = np.concatenate([[0], np.cumsum(sizes - MATCH + 1)])
-    low, slot = [], []
+    tails, low, slot = [], [], []
     for s, (_, order, of) in zip(shards, made):
-        text = np.asarray(s)[of[order]]
-        offset = order - np.concatenate([[0], np.cumsum(sizes[s] + 1)])[of[order]]
-        whole = sizes[text] - offset >= MATCH
-        low.append(np.where(whole, lows[text], np.iinfo(np.int64).max))
-        slot.append(np.where(whole, begin[text] + offset, -1))
+        text = of[order]
+        offset = order - (np.cumsum(sizes[s] + 1) - sizes[s] - 1)[text]
+        tails.append(offset >= MATCH)
+        low.append(lows[s[text]])
+        slot.append(begin[s[text]] + offset)
+    at, g = merged_groups([m[0] for m in made], tails, MATCH)
     low, slot = np.concatenate(low)[at], np.concatenate(slot)[at]
     least = np.minimum.reduceat(low, np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])))
     out = np.empty(begin[-1], np.int64)
-    whole = slot >= 0
-    out[slot[whole]] = least[g[whole]]
+    out[slot] = least[g]
+    return out
+
+
+def smallest_plain(texts: list[bytes], lows: np.ndarray) -> np.ndarray:
+    """The same for texts with 0 bytes, which would pass for ends in a transform: the windows sorted from their last byte."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    n = sizes - MATCH + 1
+    start = np.arange(n.sum()) + np.repeat((np.cumsum(sizes) - sizes) - (np.cumsum(n) - n), n)
+    at, g = np.arange(len(start)), np.zeros(len(start), np.int64)
+    for back in range(MATCH - 1, -1, -1):
+        chars = data[start[at] + back]
+        order = np.argsort(chars, kind="stable")
+        c, go = chars[order], g[order]
+        new = np.zeros(len(order), bool)
+        new[1:] = (c[1:] != c[:-1]) | (go[1:] != go[:-1])
+        at, g = at[order], np.cumsum(new)
+    least = np.minimum.reduceat(np.repeat(lows, n)[at], np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])))
+    out = np.empty(len(start), np.int64)
+    out[at] = least[g]
     return out
 
 
@@ -322,7 +361,7 @@ def bucket_lows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     stretches: dict[int, list[tuple[int, int]]] = {}
     if len(mixed) > 1:
         some = [texts_of[i] for i in mixed]
-        low = (by_table if any(b"\0" in t for t in some) else smallest)(some, mins_of[mixed])
+        low = (smallest_plain if any(b"\0" in t for t in some) else smallest)(some, mins_of[mixed])
         stretches = dict(zip(mixed, stretched(low, np.array([len(t) - MATCH + 1 for t in some]))))
     out = []
     for cell, runs, which in rows:
@@ -332,17 +371,6 @@ def bucket_lows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["cell", "runs", "parts", "lengths", "lows"])
 
 
-def by_table(texts: list[bytes], lows: np.ndarray) -> np.ndarray:
-    """The same as ``smallest`` for texts with 0 bytes, which would pass for ends: a table of the windows themselves."""
-    least: dict[bytes, int] = {}
-    for t, low in zip(texts, lows.tolist()):
-        for i in range(len(t) - MATCH + 1):
-            w = t[i : i + MATCH]
-            if least.get(w, low) >= low:
-                least[w] = low
-    return np.array([least[t[i : i + MATCH]] for t in texts for i in range(len(t) - MATCH + 1)], np.int64)
-
-
 def stretched(low: np.ndarray, windows: np.ndarray) -> list[list[tuple[int, int]]]:
     """Each text's (windows, smallest id) by stretch, from all texts' windows end to end."""
     begins = np.concatenate([[0], np.cumsum(windows)[:-1]])
@@ -365,43 +393,43 @@ def digests(key: tuple, pdf: pd.DataFrame, lows: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"])
         return pd.DataFrame([whole(int(d), t.encode("utf-8", "surrogatepass")) for d, t in zip(pdf["doc_id"], pdf["text"])], columns=[x.split()[0] for x in DIGEST.split(", ")])
     cell = Cell(pdf)
-    told: dict[bytes, list[tuple[int, int]]] = {}
-    firsts = []
-    for runs, parts, lengths, values in zip(lows["runs"], lows["parts"], lows["lengths"], lows["lows"]):
-        runs = np.frombuffer(runs, np.uint32).astype(np.int64)
-        ends = np.cumsum(np.frombuffer(parts, np.uint32).astype(np.int64)).tolist()
-        pairs = list(zip(np.frombuffer(lengths, np.uint32).tolist(), np.frombuffer(values, np.int64).tolist()))
-        firsts.append(runs)
-        at = 0
-        for r, e in zip(runs.tolist(), ends):
-            told[cell.text(r)] = pairs[at:e]
-            at = e
-    cover: dict[int, list[tuple[int, int]]] = {}
-    ids, begins, ends = cell.ids.tolist(), cell.begins.tolist(), cell.ends.tolist()
-    for r in np.flatnonzero(np.isin(cell.hash, cell.hash[np.concatenate(firsts)])).tolist():
-        d = int(cell.doc[r])
-        own, at = ids[d], int(cell.start[r]) - begins[d]
-        for n, low in told.get(cell.text(r), ()):
-            if low < own:
-                cover.setdefault(d, []).append((at, at + n - 1 + MATCH))
-            at += n
-    out = []
-    for d, doc in enumerate(ids):
-        raw = cell.raw[begins[d] : ends[d]]
-        if d not in cover:
-            out.append(whole(doc, raw))
+    join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in lows[c]]).astype(np.int64)
+    first, parts, lengths, values = join("runs", np.uint32), join("parts", np.uint32), join("lengths", np.uint32), join("lows", np.int64)
+    # all runs with the text of a first run, and the stretches of each
+    order = np.argsort(cell.whole[first], kind="stable")
+    known = cell.whole[first][order]
+    near = np.minimum(np.searchsorted(known, cell.whole), len(known) - 1)
+    runs = np.flatnonzero(known[near] == cell.whole)
+    which = order[near[runs]]
+    count = parts[which]
+    of = np.repeat(np.arange(len(runs)), count)
+    begin = np.cumsum(count) - count
+    stretch = np.arange(len(of)) + ((np.cumsum(parts) - parts)[which] - begin)[of]
+    n = lengths[stretch]
+    ahead = np.cumsum(n) - n
+    at = cell.start[runs][of] + ahead - ahead[begin][of]
+    doc = cell.doc[runs][of]
+    hit = values[stretch] < cell.ids[doc]
+    at, end, doc = at[hit], at[hit] + n[hit] - 1 + MATCH, doc[hit]
+    # stretches are in order; those that touch within a document are one span
+    reach = np.maximum.accumulate(end) if len(end) else end
+    new = np.ones(len(at), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > reach[:-1])
+    lead = np.flatnonzero(new)
+    lo, hi, doc = at[lead], reach[np.append(lead[1:], len(at)) - 1] if len(lead) else at[lead], doc[lead]
+    cuts = np.searchsorted(doc, np.arange(len(cell.ids) + 1)).tolist()
+    lo, hi, out = lo.tolist(), hi.tolist(), []
+    for d, (name, begin_d, end_d) in enumerate(zip(cell.ids.tolist(), cell.begins.tolist(), cell.ends.tolist())):
+        a, b = cuts[d], cuts[d + 1]
+        if a == b:
+            out.append(whole(name, cell.raw[begin_d:end_d]))
             continue
-        spans = np.array(cover[d], np.int64)
-        spans = spans[np.argsort(spans[:, 0], kind="stable")]
-        reach = np.maximum.accumulate(spans[:, 1])
-        first = np.flatnonzero(np.concatenate([[True], spans[1:, 0] > reach[:-1]]))
-        lo, hi = spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]
-        kept, at = hashlib.sha256(), 0
-        for a, b in zip(lo.tolist(), hi.tolist()):
-            kept.update(raw[at:a])
-            at = b
-        kept.update(raw[at:])
-        out.append((doc, len(raw), int((hi - lo).sum()), len(lo), kept.hexdigest()))
+        kept, from_here = hashlib.sha256(), begin_d
+        for x, y in zip(lo[a:b], hi[a:b]):
+            kept.update(cell.raw[from_here:x])
+            from_here = y
+        kept.update(cell.raw[from_here:end_d])
+        out.append((name, end_d - begin_d, sum(hi[a:b]) - sum(lo[a:b]), b - a, kept.hexdigest()))
     return pd.DataFrame(out, columns=[x.split()[0] for x in DIGEST.split(", ")])
 
 
