@@ -223,13 +223,26 @@ def normal_answer(text: Column) -> Column:
     return fold(text)
 
 
+def folded(text: Column) -> Column:
+    """Case folded, without white space."""
+
+    @pandas_udf(T.StringType())
+    def fold(x: pd.Series) -> pd.Series:
+        return x.map(lambda s: None if s is None else "".join(s.split()).casefold())
+
+    return fold(text)
+
+
 def clip_text(text: str, allowance: int, ellipsis: bool = False) -> str:
-    """At most ``allowance`` UTF-8 bytes, no character cut in two."""
-    raw = text.encode()
+    """The longest prefix of whole characters within ``allowance`` UTF-8 bytes; a cut shows as an ellipsis if that fits."""
+    raw = memoryview(text.encode())
     if len(raw) <= allowance:
         return text
-    mark = "…" if ellipsis and allowance >= 3 else ""
-    return raw[: max(0, allowance - len(mark.encode()))].decode(errors="ignore") + mark if allowance > 0 else ""
+    end = "…" if ellipsis and allowance > 2 else ""
+    room = max(0, allowance) - 3 * len(end)
+    while room and raw[room] & 0xC0 == 0x80:  # not within a character
+        room -= 1
+    return str(raw[:room], "utf-8") + end
 
 
 def clip(text: Column, allowance: int, ellipsis: bool = False) -> Column:
@@ -249,3 +262,65 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     norm = F.sqrt(dot(a, a) * dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+
+
+# -- shaping and checking of rows
+
+# Limits of model output and of file titles.
+EXPANSIONS, EXPANSION_CHARS, HYDE_CHARS = 3, 300, 1200
+FACTS, FACT_KEY_CHARS, FACT_VALUE_CHARS, UNSURE = 6, 180, 600, 0.5
+TITLE_CHARS, NO_TITLE = 80, "memory-note"
+
+
+def one_line(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(text, r"\s+", " "))
+
+
+def display_path(legacy: Column, path: Column) -> Column:
+    return F.coalesce(F.nullif(legacy, F.lit("")), path)
+
+
+def probe_text(key: Column, value: Column, conditions: Column) -> Column:
+    """What a fact is compared by: its key, its value, its conditions if it has any."""
+    return F.concat(F.btrim(key), F.lit("\n"), value, F.when(conditions.isNotNull(), F.concat(F.lit("\nConditions: "), conditions)).otherwise(F.lit("")))
+
+
+def tags_of(tags_json: Column) -> Column:
+    """Searchable tags of a JSON array."""
+    return searchable_tags(F.coalesce(F.from_json(tags_json, "array<string>"), F.array().cast(Words)))
+
+
+def safe_title(title: Column) -> Column:
+    """A file title: lower case, other characters as single hyphens, none of ``-._`` at the ends, 80 characters."""
+    hyphened = F.regexp_replace(F.regexp_replace(F.lower(F.btrim(title)), r"[^a-z0-9一-鿿._-]+", "-"), "-+", "-")
+    return F.coalesce(F.nullif(F.substring(F.btrim(hyphened, F.lit("-._")), 1, TITLE_CHARS), F.lit("")), F.lit(NO_TITLE))
+
+
+def valid_expansions(query: Column, offered: Column, most: int = EXPANSIONS) -> Column:
+    """Rewordings of a query on one line, of 300 characters at most, none the query or another one in other case."""
+    lines = F.filter(F.transform(offered, one_line), lambda t: (t != "") & (F.length(t) <= EXPANSION_CHARS))
+    other = F.filter(lines, lambda t: F.lower(t) != F.lower(F.btrim(query)))
+    return F.slice(first_spellings(F.coalesce(other, F.array().cast(Words))), 1, most)
+
+
+def valid_hyde(query: Column, expansions: Column, offered: Column) -> Column:
+    """A hypothetical answer, cut to 1200 characters; empty if it says what the query or an expansion says."""
+    text = F.substring(F.btrim(F.coalesce(offered, F.lit(""))), 1, HYDE_CHARS)
+    said = F.concat(F.array(F.lower(F.btrim(query))), F.transform(expansions, F.lower))
+    return F.when(F.array_contains(said, F.lower(F.btrim(text))), F.lit("")).otherwise(text)
+
+
+def valid_facts(offered: Column, most: int = FACTS) -> Column:
+    """Projected facts (key, value, confidence) on one line and cut, each (key, value) once without regard to case, with a
+    confidence between 0 and 1."""
+    lines = F.transform(
+        offered,
+        lambda f: F.struct(
+            F.substring(one_line(F.coalesce(f["key"], F.lit(""))), 1, FACT_KEY_CHARS).alias("key"),
+            F.substring(one_line(F.coalesce(f["value"], F.lit(""))), 1, FACT_VALUE_CHARS).alias("value"),
+            F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(f["confidence"].cast("double"), F.lit(UNSURE)))).alias("confidence"),
+        ),
+    )
+    named = F.filter(lines, lambda f: (f["key"] != "") & (f["value"] != ""))
+    same = lambda f: F.lower(F.concat(f["key"], F.lit("\x1f"), f["value"]))
+    return F.slice(let(named, lambda rows: let(F.transform(rows, same), lambda ids: F.filter(rows, lambda f, i: F.array_position(ids, same(f)) == i + 1))), 1, most)
