@@ -245,13 +245,14 @@ def decide(candidates: DataFrame) -> DataFrame:
 
 
 def near_duplicates(probes: DataFrame, facts: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Best active fact of the same project and scope for each probe: both have (id, block, vector); ties by id."""
-    from ..functions.text import dot
+    """Best other active fact of the same project and scope for each probe: both have (id, block, vector); ties by id."""
+    from .retrieval import best_dots
 
-    pairs = probes.select(F.col("id").alias("probe_id"), "block", F.col("vector").alias("p")).join(facts.select(F.col("id").alias("fact_id"), "block", F.col("vector").alias("v")), "block")
-    scored = pairs.withColumn("similarity", F.round(dot(F.col("p"), F.col("v")), 6)).where(F.col("similarity") >= threshold)
+    rows = facts.select(F.lit("fact").alias("record_type"), F.col("id").cast("string").alias("ref_id"), "block", "vector")
+    found = best_dots(rows, probes.select(F.col("id").alias("query_id"), "block", "vector"), threshold, 2)  # the probe itself may be one
+    scored = found.select(F.col("query_id").alias("probe_id"), F.col("ref_id").cast("long").alias("fact_id"), F.round("score", 6).alias("similarity"))
     best = Window.partitionBy("probe_id").orderBy(F.desc("similarity"), "fact_id")
-    return scored.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("probe_id", "fact_id", "similarity")
+    return scored.where((F.col("similarity") >= threshold) & (F.col("probe_id") != F.col("fact_id"))).withColumn("_n", F.row_number().over(best)).where("_n = 1").select("probe_id", "fact_id", "similarity")
 
 
 def rebuild(log: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:

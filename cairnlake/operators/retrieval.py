@@ -8,15 +8,17 @@ ranks. Only greedy choices run in Python, by query, over a pool whose size is a
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..storage import cut
 
 # Fixed values that decide results.
 RRF, SESSION_RRF, CUT = 60, 30, 80
@@ -28,51 +30,51 @@ COVERAGE_BONUS, COVERAGE_TERMS = 0.01, 32
 SOFT_PENALTY = 0.01
 ENTITY_HOPS, ENTITY_CAP, ADJACENT_MAX = 2, 8, 8
 KEY = ["query_id", "record_type", "ref_id"]
+#: Terms of one automaton, queries of one matrix; more of them take more passes over the records.
+AUTOMATON_TERMS, QUERY_ROWS = 200_000, 2_000
 
 
 def fields(records: DataFrame) -> DataFrame:
     """Lower-cased title, tags and body of each record."""
     tags = F.array_join(tx.searchable_tags(F.col("tags")), " ")
-    return records.select("record_type", "ref_id", F.lower("title").alias("f0"), F.lower(tags).alias("f1"), F.lower("body").alias("f2"))
+    return records.select("record_type", "ref_id", *[F.coalesce(F.lower(c), F.lit("")).alias(f"f{i}") for i, c in enumerate((F.col("title"), tags, F.col("body")))])
 
 
 def query_terms(queries: DataFrame, terms: Column) -> DataFrame:
     return queries.select("query_id", F.explode(terms).alias("term"))
 
 
-RUN = r"[a-z0-9._-]{2,}|[一-鿿]{2,}"
+def term_hits(records: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, record_type, ref_id, n0, n1, n2, d) where a record holds a term: occurrences by field, overlapping ones
+    counted, and the record's number of trigrams. Records are rows of one (record_type, ref_id) each.
 
-
-def postings(records: DataFrame) -> DataFrame:
-    """(record_type, ref_id, field, run, c): how often each maximal run of term characters stands in a field.
-
-    A term is made of characters of one class, so it occurs in a text where it occurs in such a run; texts are read
-    once, and terms are held against the distinct runs only.
+    The texts pass once through an automaton of the queries' distinct terms; nothing else of them is moved. Terms beyond
+    ``AUTOMATON_TERMS`` take another pass.
     """
-    runs = F.array(*[F.struct(F.lit(i).alias("field"), tx.found(F.col(f"f{i}"), RUN).alias("runs")) for i in range(3)])
-    rows = fields(records).select("record_type", "ref_id", F.explode(runs).alias("r")).select("record_type", "ref_id", "r.field", F.explode("r.runs").alias("run"))
-    return rows.groupBy("record_type", "ref_id", "field", "run").agg(F.count("*").alias("c"))
-
-
-def term_hits(posted: DataFrame, terms: DataFrame) -> DataFrame:
-    """(record_type, ref_id, field, term, c, occ) where a run holds a term, overlapping occurrences counted.
+    words = [r.term for r in terms.select("term").distinct().toLocalIterator()]  # the queries bound them
+    length = reduce(lambda a, b: a + b, [F.greatest(F.length(f"f{i}") - 2, F.lit(0)) for i in range(3)])
+    rows = fields(records).withColumn("d", length.cast("long"))
+    schema = "term string, record_type string, ref_id string, n0 long, n1 long, n2 long, d long"
+    found = [rows.mapInPandas(matcher(records.sparkSession.sparkContext.broadcast(words[i : i + AUTOMATON_TERMS])), schema) for i in range(0, max(1, len(words)), AUTOMATON_TERMS)]
+    return reduce(DataFrame.union, found)
 
-    The distinct runs go once through an automaton of the queries' terms, whose number the queries bound.
-    """
-    words = [r.term for r in terms.select("term").distinct().toLocalIterator()]
 
+def matcher(words: Broadcast) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def match(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for w in words:
+        for w in words.value:
             automaton.add_word(w, w)
         automaton.make_automaton()
         for pdf in batches:
-            found = [(run, t, n) for run in pdf["run"] for t, n in Counter(t for _, t in automaton.iter(run)).items()] if words else []
-            yield pd.DataFrame(found, columns=["run", "term", "occ"])
+            out = []
+            for kind, ref, *texts, d in zip(*(pdf[c] for c in ("record_type", "ref_id", "f0", "f1", "f2", "d"))) if words.value else ():
+                by_field = [Counter(t for _, t in automaton.iter(x)) if x else Counter() for x in texts]
+                out += [(t, kind, ref, *(c[t] for c in by_field), d) for t in set().union(*by_field)]
+            yield pd.DataFrame(out, columns=["term", "record_type", "ref_id", "n0", "n1", "n2", "d"])
 
-    return posted.join(posted.select("run").distinct().mapInPandas(match, "run string, term string, occ long"), "run")
+    return match
 
 
 def occurrences(field: Column, term: Column) -> Column:
@@ -80,46 +82,80 @@ def occurrences(field: Column, term: Column) -> Column:
     return F.regexp_count(field, F.concat(F.lit(r"(?=\Q"), term, F.lit(r"\E)")))
 
 
-def substring_channel(records: DataFrame, terms: DataFrame) -> DataFrame:
+def substring_channel(records: DataFrame, terms: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """Sum over terms of ln(1 + (n + 1) / (df + 1)) * min(length, 6) * field boosts; df and n over these records."""
-    boost = reduce(lambda a, b: a + b, [F.max((F.col("field") == i).cast("double")) * w for i, w in enumerate(FIELD_BOOSTS)])
-    hits = term_hits(postings(records), terms).groupBy("term", "record_type", "ref_id").agg(boost.alias("boost"))
+    hits = cut(term_hits(records, terms), "hits") if hits is None else hits
+    boost = reduce(lambda a, b: a + b, [(F.col(f"n{i}") > 0).cast("double") * w for i, w in enumerate(FIELD_BOOSTS)])
     n = records.agg(F.count("*").alias("n"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.log(1.0 + (F.col("n") + 1.0) / (F.col("df") + 1.0)) * F.least(F.length("term"), F.lit(TERM_CAP))
     weights = df.crossJoin(F.broadcast(n)).select("term", weight.alias("w")).join(terms, "term")
-    return hits.join(F.broadcast(weights), "term").groupBy(*KEY).agg(F.round(F.sum(F.col("w") * F.col("boost")), 6).alias("score")).withColumn("channel", F.lit("substring"))
+    return hits.join(weights, "term").groupBy(*KEY).agg(F.round(F.sum(F.col("w") * boost), 6).alias("score")).withColumn("channel", F.lit("substring"))
 
 
-def bm25_channel(corpus: DataFrame, terms: DataFrame, eligible: DataFrame | None = None) -> DataFrame:
+def bm25_channel(corpus: DataFrame, terms: DataFrame, eligible: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
     """Trigram BM25 with column weights; statistics over the whole corpus, output restricted to eligible records."""
-    length = reduce(lambda a, b: a + b, [F.greatest(F.length(f"f{i}") - 2, F.lit(0)) for i in range(3)])
-    sizes = fields(corpus).select("record_type", "ref_id", length.alias("d"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("d").alias("avg_d"))
     long_terms = terms.where(F.length("term") >= 3)
-    weight = F.element_at(F.array(*[F.lit(w) for w in BM25_WEIGHTS]), F.col("field") + 1)
-    hit = term_hits(postings(corpus), long_terms).groupBy("term", "record_type", "ref_id").agg(F.sum(weight * F.col("c") * F.col("occ")).alias("f"))
+    hits = cut(term_hits(corpus, long_terms), "hits") if hits is None else hits
+    length = reduce(lambda a, b: a + b, [F.greatest(F.length(f"f{i}") - 2, F.lit(0)) for i in range(3)])
+    stats = fields(corpus).agg(F.count("*").alias("n"), F.avg(length).alias("avg_d"))
+    hit = hits.withColumn("f", reduce(lambda a, b: a + b, [F.col(f"n{i}") * w for i, w in enumerate(BM25_WEIGHTS)]))
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.crossJoin(F.broadcast(stats)).select("term", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"), "avg_d").join(long_terms, "term")
     part = F.col("idf") * F.col("f") * (BM25_K1 + 1) / (F.col("f") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("d") / F.col("avg_d")))
-    scored = hit.join(sizes, ["record_type", "ref_id"])
     if eligible is not None:
-        scored = scored.join(eligible.select("record_type", "ref_id"), ["record_type", "ref_id"], "left_semi")
-    return scored.join(F.broadcast(weights), "term").groupBy(*KEY).agg(F.round(F.sum(part), 6).alias("score")).withColumn("channel", F.lit("bm25"))
+        hit = hit.join(eligible.select("record_type", "ref_id"), ["record_type", "ref_id"], "left_semi")
+    return hit.join(weights, "term").groupBy(*KEY).agg(F.round(F.sum(part), 6).alias("score")).withColumn("channel", F.lit("bm25"))
+
 
+def best_dots(records: DataFrame, queries: DataFrame, floor: float, most: int) -> DataFrame:
+    """(query_id, record_type, ref_id, score): dot products of at least ``floor``, for each query and batch of records the
+    best ``most`` and whatever rounding could tie with them, so that the best ``most`` of all are among them.
 
-def vector_channel(records: DataFrame, queries: DataFrame, floor: float = NGRAM_FLOOR, channel: str = "ngram", inclusive: bool = True) -> DataFrame:
-    """Dot products of vectors against a bounded set of queries, which goes to the records as one matrix."""
-    pairs = records.select("record_type", "ref_id", F.col("vector").alias("v")).crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("q"))))
-    score = F.round(tx.dot(F.col("v"), F.col("q")), 6)
-    scored = pairs.select(*KEY, score.alias("score"))
+    The queries go to the records in matrices of ``QUERY_ROWS``; records never meet in pairs. Both may have a column
+    block; then only equal blocks meet. Vectors of another length than the query's score nothing.
+    """
+    columns = ["query_id", "vector", *(["block"] if "block" in queries.columns else [])]
+    rows = queries.select(*columns).toPandas()  # the queries bound it
+    keep = ["record_type", "ref_id", "vector", *columns[2:]]
+    spark, found = records.sparkSession, []
+    for i in range(0, max(1, len(rows)), QUERY_ROWS):
+        some = spark.sparkContext.broadcast(rows.iloc[i : i + QUERY_ROWS])
+        found.append(records.select(*keep).mapInPandas(lambda it, some=some: dotted(it, some.value, floor, most), "query_id long, record_type string, ref_id string, score double"))
+    return reduce(DataFrame.union, found)
+
+
+def dotted(batches: Iterable[pd.DataFrame], queries: pd.DataFrame, floor: float, most: int) -> Iterator[pd.DataFrame]:
+    def groups(df: pd.DataFrame) -> dict:
+        """(block, length of vector) -> positions and matrix."""
+        size = df["vector"].map(lambda v: -1 if v is None else len(v))
+        block = df["block"] if "block" in df else pd.Series(0, df.index)
+        return {k: (g.index, np.stack(g["vector"].to_numpy()).astype(float)) for k, g in df.groupby([block, size], dropna=False) if k[1] > 0}
+
+    asked = groups(queries.reset_index(drop=True))
+    for pdf in batches:
+        out = []
+        for key, (at, matrix) in groups(pdf.reset_index(drop=True)).items():
+            if key not in asked:
+                continue
+            scores = matrix @ asked[key][1].T
+            for q, column in zip(asked[key][0], scores.T):
+                least = max(floor, np.partition(column, -most)[-most]) if len(column) > most else floor
+                hit = np.flatnonzero(column >= least - 2e-6)
+                out.append(pd.DataFrame({"query_id": queries["query_id"].iloc[q], "record_type": pdf["record_type"].to_numpy()[at[hit]], "ref_id": pdf["ref_id"].to_numpy()[at[hit]], "score": column[hit]}))
+        yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "record_type": [], "ref_id": [], "score": []})
+
+
+def vector_channel(records: DataFrame, queries: DataFrame, floor: float = NGRAM_FLOOR, channel: str = "ngram", inclusive: bool = True, cut_at: int = CUT) -> DataFrame:
+    """Dot products with each query's vector from a floor on, the best ``cut_at`` a query and some more."""
+    scored = best_dots(records, queries, floor, cut_at).withColumn("score", F.round("score", 6))
     return scored.where((F.col("score") >= floor) if inclusive else (F.col("score") > floor)).withColumn("channel", F.lit(channel))
 
 
-def ranked(channel: DataFrame, cut: int = CUT) -> DataFrame:
+def ranked(channel: DataFrame, most: int = CUT) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "record_type", "ref_id")
-    return channel.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cut)
+    return channel.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
 def fuse(channels: list[DataFrame], k: int = RRF) -> DataFrame:
@@ -160,12 +196,16 @@ def final_order(scored: DataFrame, limit: int | None = 6) -> DataFrame:
     return out if limit is None else out.where(F.col("position") <= limit)
 
 
-def search(queries: DataFrame, records: DataFrame, corpus: DataFrame | None = None, limit: int = 6) -> DataFrame:
-    """Lexical profile without vectors: terms, BM25 and substring channels, fusion, bonuses, order."""
+def search(queries: DataFrame, records: DataFrame, corpus: DataFrame | None = None, limit: int | None = 6, vectors: tuple[DataFrame, DataFrame] | None = None, extra: list[DataFrame] | None = None) -> DataFrame:
+    """Lexical profile: BM25 and substring channels, the n-gram or embedding channel of ``vectors`` (of the records, of the
+    queries) and any others given, fused, with bonuses, in final order. Texts are read once for both lexical channels."""
     terms = query_terms(queries, tx.lexical_terms(F.col("query")))
     looked_up = query_terms(queries, tx.index_terms(tx.lexical_terms(F.col("query"))))
-    fused = fuse([bm25_channel(corpus if corpus is not None else records, looked_up, records), substring_channel(records, terms)])
-    return final_order(bonuses(fused, queries, records), limit)
+    hits = cut(term_hits(records, terms), "hits")
+    shared = None if corpus is not None else hits.join(looked_up.select("term").distinct(), "term", "left_semi")
+    channels = [bm25_channel(corpus if corpus is not None else records, looked_up, records if corpus is not None else None, shared), substring_channel(records, terms, hits)]
+    channels += [vector_channel(*vectors)] if vectors else []
+    return final_order(bonuses(fuse(channels + (extra or [])), queries, records), limit)
 
 
 def search_legacy(queries: DataFrame, records: DataFrame, limit: int = 6) -> DataFrame:
@@ -307,15 +347,84 @@ def entity_expand(hits: DataFrame, records: DataFrame, links: DataFrame, hops: i
     return chosen.withColumn("position", F.row_number().over(order))
 
 
+def alias_matcher(queries: DataFrame, aliases: DataFrame) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """(query_id, alias) where an alias stands in a text as whole words, or anywhere if it ends in Han script."""
+    words = [r.a for r in aliases.select(F.lower("alias").alias("a")).where("a <> ''").distinct().toLocalIterator()]
+    known = queries.sparkSession.sparkContext.broadcast(words)
+
+    def match(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import unicodedata
+
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for w in known.value:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        inner = lambda c: c.isalnum() or unicodedata.category(c)[0] in "MN" or unicodedata.category(c) == "Pc"
+        whole = lambda t, a, z: not (a and inner(t[a - 1])) and not (z < len(t) and inner(t[z]))
+        for pdf in batches:
+            out = []
+            for q, text in zip(pdf["query_id"], pdf["text"]):
+                for last, w in automaton.iter(text or "") if known.value else ():
+                    if "一" <= w[-1] <= "鿿" or whole(text, last + 1 - len(w), last + 1):
+                        out.append((q, w))
+            yield pd.DataFrame(out, columns=["query_id", "alias"])
+
+    return match
+
+
 def alias_expand(queries: DataFrame, aliases: DataFrame, cap: int = 12) -> DataFrame:
     """Adds canonical names whose alias the query contains (whole words, unless it ends in CJK) and that it lacks."""
-    q, a = F.lower("query"), F.lower("alias")
-    quoted = F.concat(F.lit(r"(?U)(?<![\w])\Q"), a, F.lit(r"\E(?![\w])"))
-    match = F.when(a.rlike("[一-鿿]+$"), q.contains(a)).otherwise(F.regexp_like(q, quoted)) & ~q.contains(F.lower("canonical_name"))
-    found = queries.join(F.broadcast(aliases), match).groupBy("query_id").agg(F.slice(F.sort_array(F.collect_set("canonical_name")), 1, cap).alias("added"))
+    rows = queries.select("query_id", F.lower("query").alias("text")).mapInPandas(alias_matcher(queries, aliases), "query_id long, alias string")
+    named = aliases.select(F.lower("alias").alias("alias"), "canonical_name").distinct()
+    hit = rows.distinct().join(named, "alias").join(queries.select("query_id", "query"), "query_id").where(~F.lower("query").contains(F.lower("canonical_name")))
+    found = hit.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_set("canonical_name")), 1, cap).alias("added"))
     return queries.join(found, "query_id", "left").withColumn("expanded", F.when(F.col("added").isNull(), F.col("query")).otherwise(F.concat_ws(" ", F.col("query"), F.array_join("added", " "))))
 
 
+def alias_expand_legacy(queries: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The older expansion: every canonical name whose alias stands anywhere in the query and that the query lacks.
+
+    The aliases go through an automaton once; queries and aliases never meet in pairs.
+    """
+    rows = queries.select(F.lit("q").alias("record_type"), F.col("query_id").cast("string").alias("ref_id"), F.lit("").alias("title"), F.array().cast("array<string>").alias("tags"), F.col("query").alias("body"))
+    named = aliases.where(F.coalesce("alias", F.lit("")) != "").select("alias", F.col("canonical_name").alias("name"))
+    found = term_hits(rows, named.select(F.col("alias").alias("term"))).select(F.col("term").alias("alias"), F.col("ref_id").alias("_q")).join(named, "alias")
+    asked = queries.withColumn("_q", F.col("query_id").cast("string"))
+    added = found.join(asked.select("_q", "query"), "_q").where(~F.lower("query").contains(F.lower("name"))).groupBy("_q").agg(F.array_sort(F.collect_list("name")).alias("added"))
+    out = asked.join(added, "_q", "left").drop("_q")
+    return out.withColumn("expanded", F.when(F.col("added").isNull(), F.col("query")).otherwise(F.concat_ws(" ", F.col("query"), F.array_join("added", " "))))
+
+
+def ranked_legacy(channel: DataFrame, most: int = CUT) -> DataFrame:
+    """The older order of the vector channel: all keys descending."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("record_type"), F.desc("ref_id"))
+    return channel.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def expansion_vectors(records: DataFrame, extra: DataFrame, floor: float = 0.0) -> DataFrame:
+    """Channel of vectors of rewordings and hypothetical answers (query_id, vector, several a query): the best of them counts."""
+    numbered = extra.withColumn("_n", F.monotonically_increasing_id())
+    some = cut(numbered, "wordings")
+    scored = vector_channel(records, some.select(F.col("_n").alias("query_id"), "vector"), floor, "expansion-vector", inclusive=False)
+    own = scored.withColumnRenamed("query_id", "_n").join(some.select("_n", "query_id"), "_n")
+    return own.groupBy(*KEY, "channel").agg(F.max("score").alias("score"))
+
+
+TOP_LIMIT = 100
+
+
+def requested(requests: DataFrame, records: DataFrame) -> DataFrame:
+    """Search requests (query_id, query, options array<string>, top_k): options belong to the query, top_k is held between
+    1 and 100, hits without a body are none."""
+    text = F.concat_ws("\n", "query", F.array_join(F.filter("options", lambda o: F.btrim(o) != ""), "\n"))
+    asked = requests.select("query_id", text.alias("query"))
+    hits = search(asked, records, limit=None).where(F.btrim("body") != "")
+    most = F.greatest(F.lit(1), F.least(F.lit(TOP_LIMIT), F.coalesce("top_k", F.lit(TOP_LIMIT))))
+    return final_order(hits.drop("position"), None).join(requests.select("query_id", most.alias("_k")), "query_id").where(F.col("position") <= F.col("_k")).drop("_k")
+
+
 def startup(records: DataFrame, limit: int = 6) -> DataFrame:
     """Context without a query: by kind, then latest."""
     kinds = F.when(F.col("kind") == "core", 4).when(F.col("kind") == "fact", 3).when(F.col("kind") == "procedure", 2).when(F.col("kind") == "artifact_ref", 1).otherwise(0)
@@ -339,7 +448,44 @@ def term_cosine(queries: DataFrame, sources: DataFrame, limit: int = 5) -> DataF
     s = sources.select("source_id", F.explode(bag(F.col("body"))).alias("t")).withColumn("t", bare("t")).groupBy("source_id", "t").agg(F.count("*").alias("cs"))
     nq = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("cq") * F.col("cq"))).alias("nq"))
     ns = s.groupBy("source_id").agg(F.sqrt(F.sum(F.col("cs") * F.col("cs"))).alias("ns"))
-    dots = s.join(F.broadcast(q), "t").groupBy("query_id", "source_id").agg(F.sum(F.col("cq") * F.col("cs")).alias("d"))
-    scored = dots.join(F.broadcast(nq), "query_id").join(ns, "source_id").select("query_id", "source_id", F.round(F.col("d") / (F.col("nq") * F.col("ns")), 6).alias("score"))
+    dots = s.join(q, "t").groupBy("query_id", "source_id").agg(F.sum(F.col("cq") * F.col("cs")).alias("d"))
+    scored = dots.join(nq, "query_id").join(ns, "source_id").select("query_id", "source_id", F.round(F.col("d") / (F.col("nq") * F.col("ns")), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "source_id")
     return scored.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
+
+
+V1_CHARS, V1_WORD = 20_000, r"[\w一-鿿.-]{2,}"
+
+
+def v1_ranking(queries: DataFrame, files: DataFrame, limit: int = 5, chars: int | None = V1_CHARS) -> DataFrame:
+    """The first reader's ranking of files (path, body, changed_at): how often the query's words stand in the first 20,000
+    characters (or in all, with ``chars`` None), then the latest, then the path, all descending; files without a word are out."""
+    words = queries.select("query_id", F.explode(F.array_distinct(tx.found(F.lower("query"), "(?U)" + V1_WORD))).alias("word"))
+    body = F.col("body") if chars is None else F.substring("body", 1, chars)
+    rows = files.select("path", "changed_at", F.lower(F.coalesce(body, F.lit(""))).alias("text"))
+    known = words.select("word").distinct().toLocalIterator()
+    listed = queries.sparkSession.sparkContext.broadcast([r.word for r in known])
+
+    def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for w in listed.value:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for pdf in batches:
+            out = []
+            for path, at, text in zip(pdf["path"], pdf["changed_at"], pdf["text"]):
+                end: dict[str, int] = {}
+                n: Counter = Counter()
+                for last, w in automaton.iter(text) if listed.value else ():
+                    if last - len(w) >= end.get(w, -1):  # occurrences that don't overlap
+                        n[w] += 1
+                        end[w] = last
+                out += [(path, at, w, c) for w, c in n.items()]
+            yield pd.DataFrame(out, columns=["path", "changed_at", "word", "n"])
+
+    kind = dict(files.dtypes)["changed_at"]
+    scored = rows.mapInPandas(count, f"path string, changed_at {kind}, word string, n long").join(words, "word").groupBy("query_id", "path").agg(F.sum("n").alias("score"), F.first("changed_at").alias("changed_at"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("changed_at"), F.desc("path"))
+    return scored.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)

@@ -11,12 +11,43 @@ from ..session import table
 from . import domain as d
 from .registry import query
 
-SUBSTRING = """q AS (SELECT item_id query_id, unnest(list_distinct(regexp_extract_all(lower(text[1:2048]),'[a-z0-9._-]{2,}'))) term FROM benchmark), t AS (SELECT DISTINCT term FROM q),
-f AS (SELECT doc_id::VARCHAR ref_id, source, lower(source) f0, lower(lang) f1, lower(text) f2 FROM documents),
-h AS (SELECT term, ref_id, 5.0*contains(f0,term)::INT+3.0*contains(f1,term)::INT+1.0*contains(f2,term)::INT boost FROM t, f WHERE contains(f0,term) OR contains(f1,term) OR contains(f2,term)),
-df AS (SELECT term, count(*) df FROM h GROUP BY 1),
-s AS (SELECT query_id, ref_id, round(sum(ln(1.0+((SELECT count(*) FROM documents)+1.0)/(df+1.0))*least(length(term),6)*boost),6)::DOUBLE score FROM q JOIN h USING (term) JOIN df USING (term) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_id) rk FROM s)"""
+def substring_sql(terms: str, p: str = "") -> str:
+    """CTEs that end in {p}r (query_id, ref_id, score, rk), from a CTE of (query_id, term) and the fields f."""
+    return f"""{p}t AS (SELECT DISTINCT term FROM {terms}),
+{p}h AS (SELECT term, ref_id, 5.0*contains(f0,term)::INT+3.0*contains(f1,term)::INT+1.0*contains(f2,term)::INT boost FROM {p}t, f WHERE contains(f0,term) OR contains(f1,term) OR contains(f2,term)),
+{p}df AS (SELECT term, count(*) df FROM {p}h GROUP BY 1),
+{p}s AS (SELECT query_id, ref_id, round(sum(ln(1.0+((SELECT count(*) FROM documents)+1.0)/(df+1.0))*least(length(term),6)*boost),6)::DOUBLE score FROM {terms} JOIN {p}h USING (term) JOIN {p}df USING (term) GROUP BY ALL),
+{p}r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_id) rk FROM {p}s)"""
+
+
+SUBSTRING = f"""q AS (SELECT item_id query_id, unnest(list_distinct(regexp_extract_all(lower(text[1:2048]),'[a-z0-9._-]{{2,}}'))) term FROM benchmark),
+f AS (SELECT doc_id::VARCHAR ref_id, source, lower(source) f0, lower(lang) f1, lower(text) f2 FROM documents), {substring_sql('q')}"""
+
+
+def occ(field: str) -> str:
+    """Overlapping occurrences of term: it overlaps itself only where one of its extensions ext by itself stands."""
+    return f"CASE WHEN len(ext)>0 AND len(list_filter(ext, lambda x: contains({field},x)))>0 THEN len(list_filter(range(1, length({field})-length(term)+2), lambda i: {field}[i:i+length(term)-1]=term)) ELSE (length({field})-length(replace({field},term,'')))//length(term) END"
+
+
+def bm25_sql(terms: str, p: str = "b") -> str:
+    """CTEs that end in {p}r (query_id, ref_id, score, rk), from a CTE of (query_id, term) and the fields f of SUBSTRING."""
+    return f"""{p}q AS (SELECT query_id, term FROM {terms} WHERE length(term)>=3), {p}t AS (SELECT term, list_transform(list_filter(range(1,length(term)), lambda k: left(term,k)=right(term,k)), lambda k: term||substr(term,k+1)) ext FROM (SELECT DISTINCT term FROM {p}q)),
+{p}f AS (SELECT *, greatest(length(f0)-2,0)+greatest(length(f1)-2,0)+greatest(length(f2)-2,0) dl FROM f),
+{p}h AS (SELECT term, ref_id, dl, 8.0*({occ("f0")})+4.0*({occ("f1")})+1.0*({occ("f2")}) fr FROM {p}t, {p}f WHERE contains(f0,term) OR contains(f1,term) OR contains(f2,term)),
+{p}w AS (SELECT term, CASE WHEN raw>0 THEN raw ELSE 1e-6 END idf FROM (SELECT term, ln(((SELECT count(*) FROM f)-count(*)+0.5)/(count(*)+0.5)) raw FROM {p}h GROUP BY 1)),
+{p}s AS (SELECT query_id, ref_id, round(sum(idf*fr*2.2/(fr+1.2*(0.25+0.75*dl/(SELECT avg(dl) FROM {p}f)))),6)::DOUBLE score FROM {p}q JOIN {p}h USING (term) JOIN {p}w USING (term) GROUP BY ALL),
+{p}r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_id) rk FROM {p}s)"""
+
+
+def fused_sql(*channels: tuple[str, str]) -> str:
+    """CTE u (query_id, ref_id, fused, channel_best, reasons) of ranked CTEs and their labels."""
+    every = " UNION ALL ".join(f"SELECT query_id, ref_id, score, rk, '{label}' label FROM {c} WHERE rk<=80" for c, label in channels)
+    return f"u AS (SELECT query_id, ref_id, round(sum(1.0::DOUBLE/(60+rk)),8) fused, max(score) channel_best, array_to_string(list_sort(list(label)),',') reasons FROM ({every}) GROUP BY ALL)"
+
+
+#: Query and title bonus, final order and limit of a fused CTE u.
+FINAL = """y AS (SELECT u.*, source title, round(fused+CASE WHEN lower(trim(text))=f0 THEN 0.03 WHEN trim(text)<>'' AND (contains(f0,lower(trim(text))) OR contains(lower(trim(text)),f0)) THEN 0.015 ELSE 0.0 END,8) score FROM u JOIN f USING (ref_id) JOIN benchmark ON item_id=query_id),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, ref_id)::INT AS position FROM y)"""
 
 
 def substring(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,9 +64,17 @@ def win01(spark: SparkSession, sf: str) -> DataFrame:
     return rt.ranked(substring(spark, sf)).select("query_id", "ref_id", "rank")
 
 
-@query("agg08_rrf", f"WITH {SUBSTRING} SELECT query_id, ref_id, round(1.0/(60+rk),8)::DOUBLE fused, score channel_best FROM r WHERE rk<=80")
+def bm25(spark: SparkSession, sf: str) -> DataFrame:
+    return rt.bm25_channel(d.records(spark, sf), rt.query_terms(d.queries(spark, sf), tx.index_terms(tx.lexical_terms(F.col("query")))))
+
+
+BOTH = f"{SUBSTRING}, {bm25_sql('q')}"
+
+
+@query("agg08_rrf", f"WITH {BOTH}, {fused_sql(('r', 'substring'), ('br', 'bm25'))} SELECT query_id, ref_id, fused, channel_best, reasons FROM u")
 def agg08(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.fuse([substring(spark, sf)]).select("query_id", "ref_id", "fused", "channel_best")
+    """Both lexical channels, fused."""
+    return rt.fuse([substring(spark, sf), bm25(spark, sf)]).select("query_id", "ref_id", "fused", "channel_best", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("agg09_session", f"""WITH {SUBSTRING}, u AS (SELECT query_id, ref_id, round(1.0/(60+rk),8)::DOUBLE x, source FROM r JOIN f USING (ref_id) WHERE rk<=80), g AS (SELECT query_id, source, round(sum(x),8) v FROM u GROUP BY ALL),
@@ -75,17 +114,16 @@ def agg13(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.macro(scored(spark, sf, rt.ranked(substring(spark, sf)).withColumnRenamed("rank", "position")))
 
 
-@query("agg22_bm25")
+@query("agg22_bm25", f"WITH {BOTH} SELECT query_id, ref_id, score, rk::INT AS rank FROM br WHERE rk<=80")
 def agg22(spark: SparkSession, sf: str) -> DataFrame:
-    terms = rt.query_terms(d.queries(spark, sf), tx.index_terms(tx.lexical_terms(F.col("query"))))
-    return rt.ranked(rt.bm25_channel(d.records(spark, sf), terms)).select("query_id", "ref_id", "score", "rank")
+    return rt.ranked(bm25(spark, sf)).select("query_id", "ref_id", "score", "rank")
 
 
 def search(spark: SparkSession, sf: str, limit: int = 6) -> DataFrame:
     return rt.search(d.queries(spark, sf), d.records(spark, sf), limit=limit)
 
 
-@query("ret01_search")
+@query("ret01_search", f"WITH {BOTH}, {fused_sql(('r', 'substring'), ('br', 'bm25'))}, {FINAL} SELECT query_id, position, 'event' record_type, ref_id, title, score, reasons FROM z WHERE position<=6")
 def ret01(spark: SparkSession, sf: str) -> DataFrame:
     return search(spark, sf).select("query_id", "position", "record_type", "ref_id", "title", "score", F.array_join("reasons", ",").alias("reasons"))
 
@@ -169,12 +207,15 @@ def win09(spark: SparkSession, sf: str) -> DataFrame:
     return rt.compose(o.where("position <= 8"), o.where("position > 8"), 8, ["position"]).select("query_id", "ref_id", "slot")
 
 
-@query("ret02_legacy")
+@query("ret02_legacy", f"WITH {SUBSTRING}, c AS (SELECT item_id query_id, unnest(regexp_extract_all(lower(text),'[a-z0-9._-]{{3,}}')[1:12]) term FROM benchmark), {bm25_sql('c')}, {fused_sql(('br', 'bm25'))}, {FINAL} SELECT query_id, position, ref_id, score FROM z WHERE position<=6")
 def ret02(spark: SparkSession, sf: str) -> DataFrame:
     return rt.search_legacy(d.queries(spark, sf), d.records(spark, sf)).select("query_id", "position", "ref_id", "score")
 
 
-@query("ret04_expansions")
+EXPANDED = "x AS (SELECT item_id query_id, unnest(list_distinct(regexp_extract_all(lower(('I remember discussing: '||trim(regexp_replace(text,'\\s+',' ','g')))[1:2048]),'[a-z0-9._-]{2,}'))) term FROM benchmark)"
+
+
+@query("ret04_expansions", f"WITH {SUBSTRING}, {EXPANDED}, {bm25_sql('x')}, {substring_sql('x', 'e')}, {fused_sql(('r', 'substring'), ('br', 'expansion-bm25'), ('er', 'expansion-substring'))} SELECT query_id, ref_id, fused, reasons FROM u")
 def ret04(spark: SparkSession, sf: str) -> DataFrame:
     """The recall template as an expansion of each query, fused with the query's own channel."""
     qs, recs = d.queries(spark, sf), d.records(spark, sf)
@@ -204,13 +245,13 @@ def win05(spark: SparkSession, sf: str) -> DataFrame:
     return per_parent(rows).select("query_id", "parent_id", "passage_id", "rank")
 
 
-@query("top11_near_duplicates", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] v FROM embeddings), s AS (SELECT p.vec_id probe_id, f.vec_id fact_id, round(list_dot_product(p.v,f.v),6) similarity FROM e p JOIN e f ON p.label=f.label WHERE p.vec_id%50=0 AND f.vec_id%50<>0)
+@query("top11_near_duplicates", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] v FROM embeddings), s AS (SELECT p.vec_id probe_id, f.vec_id fact_id, round(list_dot_product(p.v,f.v),6) similarity FROM e p JOIN e f ON p.label=f.label AND p.vec_id<>f.vec_id WHERE p.vec_id%50=0)
 SELECT probe_id, fact_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY similarity DESC, fact_id) n FROM s WHERE similarity>=0.1) WHERE n=1""")
 def top11(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.memory import near_duplicates
 
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), F.col("embedding").alias("vector"))
-    return near_duplicates(e.where(F.col("id") % 50 == 0), e.where(F.col("id") % 50 != 0), 0.1)
+    return near_duplicates(e.where(F.col("id") % 50 == 0), e, 0.1)
 
 
 @query("joi06_aliases", r"""WITH a AS (SELECT lower(regexp_extract(text,'[A-Za-z]+')) alias, min('item-'||item_id) canonical FROM benchmark GROUP BY 1), m AS (SELECT b.item_id, canonical FROM benchmark b JOIN a ON alias<>'' AND regexp_matches(lower(b.text), '(^|[^\pL\pM\pN_])'||alias||'($|[^\pL\pM\pN_])') AND NOT contains(lower(b.text), canonical))
