@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import ranked, relational, texts  # noqa: F401  each registers its queries
+    from . import answers, ranked, relational, texts, writing  # noqa: F401  each registers its queries
 
 
 def queries() -> dict[str, Query]:

@@ -59,15 +59,12 @@ def agg06(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("agg14_percentiles", "SELECT event_type, round(quantile_cont(value,0.5),6) p50, round(quantile_cont(value,0.95),6) p95 FROM events GROUP BY event_type")
 def agg14(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("event_type").agg(evaluation.percentile("value", 0.5).alias("p50"), evaluation.percentile("value", 0.95).alias("p95"))
+    return evaluation.exact_percentiles(table(spark, sf, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("agg15_index_percentile", "SELECT event_type, v[least(len(v), floor(len(v)*0.95)::BIGINT+1)] p95 FROM (SELECT event_type, list(value ORDER BY value) v FROM events GROUP BY event_type)")
 def agg15(spark: SparkSession, sf: str) -> DataFrame:
-    """By rank, so that no group is gathered in one array."""
-    w = Window.partitionBy("event_type")
-    ranked = table(spark, sf, "events").where("value IS NOT NULL").withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("value", "event_id")))
-    return ranked.where(F.col("r") == F.least("n", F.floor(F.col("n") * 0.95) + 1)).select("event_type", F.col("value").alias("p95"))
+    return evaluation.exact_percentiles(table(spark, sf, "events"), ["event_type"], "value", {"p95": 0.95}, between=False)
 
 
 @query("agg17_collisions", "SELECT bucket, count(*) roots, sum(notes)::BIGINT notes, count(*)>1 collides FROM (SELECT source bucket, lang root, count(*) notes FROM documents GROUP BY ALL) GROUP BY bucket")

@@ -390,14 +390,31 @@ def test_score_answers(spark):
     scored = evaluation.score_answers(spark.createDataFrame(rows, f"question_id string, baseline string, text string, source_ids {s}, gold {s}, accepted {s}, unanswerable boolean, error_type string, finish_reason string"))
     got = {r.question_id: r for r in scored.collect()}
     assert got["1"].exact_match and got["2"].correct_abstention and got["3"].flags == ["answerable_question_refused", "output_truncated"] and got["4"].flags == ["format_error", "reader_error"]
-    total = evaluation.summary(scored, 5, "baseline").first()
-    assert (total.completed, total.exact_match_rate, total.format_failure_rate, total.abstention_accuracy) == (4, 0.4, 0.2, 1.0)
+    expected = spark.createDataFrame([("b", 5, 4, 1), ("none", 2, 1, 1)], "baseline string, expected long, expected_answerable long, expected_unanswerable long")
+    total = {r.baseline: r for r in evaluation.summary(scored, expected, "baseline").collect()}
+    b, none = total["b"], total["none"]
+    assert (b.completed, b.pending, b.exact_match_rate, b.format_failure_rate, b.abstention_accuracy, b.refusal_rate) == (4, 1, 0.4, 0.2, 1.0, 0.25)
+    assert (none.completed, none.exact_match_rate, none.abstention_accuracy) == (0, 0.0, 0.0)
+    assert {(r.flag, r.n) for r in evaluation.flag_counts(scored, "baseline").collect()} == {("answerable_question_refused", 1), ("format_error", 1), ("output_truncated", 1), ("reader_error", 1)}
 
 
 def test_overlap_and_percentile(spark):
     assert one(spark, reports.overlap(F.col("a"), F.col("b")), a=["x", "y"], b=["y"]) == 1.0
     df = spark.createDataFrame([(1.0,), (2.0,), (10.0,)], "v double")
-    assert df.select(evaluation.percentile("v", 0.95).alias("p"), evaluation.index_percentile("v", 0.95).alias("q")).first() == (9.2, 10.0)
+    assert df.select(evaluation.percentile("v", 0.95).alias("p")).first() == (9.2,)
+
+
+def test_exact_percentiles(spark):
+    """Against numpy, with a sketch so coarse that brackets matter, ties, groups of one and nulls."""
+    rng = random.Random(5)
+    groups = {"a": [rng.gauss(0, 1) for _ in range(3000)], "b": [float(rng.randint(0, 3)) for _ in range(500)], "c": [7.0], "d": [1.0, 2.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("a", None)], "g string, v double")
+    points = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    for r in evaluation.exact_percentiles(df, ["g"], "v", points, accuracy=50).collect():
+        assert [r[n] for n in points] == pytest.approx([np.quantile(groups[r.g], p) for p in points.values()], abs=1e-6)
+    for r in evaluation.exact_percentiles(df, ["g"], "v", points, accuracy=50, between=False).collect():
+        vs = sorted(groups[r.g])
+        assert [r[n] for n in points] == [vs[min(len(vs) - 1, math.floor(len(vs) * p))] for p in points.values()]
 
 
 # -- sources
@@ -442,3 +459,113 @@ def test_stream(spark, tmp_path):
     stream = ingest.first_writes(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))
     ingest.to_log(stream, f"{tmp_path}/out", f"{tmp_path}/cp").start().awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+# -- the write side
+
+
+def test_append_events(spark):
+    from cairnlake.operators import writes
+
+    kinds = "event_id string, project_id string, scope string, scope_id string, kind string, title string, tags array<string>, body string, recorded_at string, idempotency_key string"
+    row = lambda e, k="episode", title="t", body="b", key="", tags=("A", "a"), scope="project": (e, "p", scope, "", k, title, list(tags), body, e, key)
+    log = spark.createDataFrame([row("1", key="x"), row("2", body="old")], kinds)
+    new = spark.createDataFrame([row("3", key="x"), row("4", key="y"), row("5", key="y"), row("6", k="memo"), row("7", title=" "), row("8", body="password: hunter22"), row("2", body=" old "), row("1", body="other"), row("9", scope="session")], kinds)
+    added, refused = writes.append_events(log, new)
+    got = {r.event_id: r for r in added.collect()}
+    assert set(got) == {"4", "9"} and got["4"].tags == ["A"] and got["4"].scope_id == "p" and got["9"].scope_id == "session"
+    assert {(r.event_id, *r.refused) for r in refused.collect()} == {("6", "invalid kind"), ("7", "title and content are required"), ("8", "secret"), ("1", "event id exists with other content")}
+
+
+def test_candidates(spark):
+    from cairnlake.operators import writes
+
+    decided = spark.createDataFrame([("a", "validated", ""), ("b", "validated", ""), ("c", "rejected", "bad"), ("d", "validated", "")], "candidate_id string, state string, reason string")
+    facts = spark.createDataFrame([("a", 0, "k", ""), ("a", 1, "m", ""), ("b", 0, "k", ""), ("c", 0, "k", ""), ("d", 0, "k", "f0")], "candidate_id string, position long, fact_key string, supersedes string")
+    near = spark.createDataFrame([("a", 1, "m", "f1", "m", 0.9), ("b", 0, "k", "f2", "other", 0.95), ("c", 0, "k", "f3", "k", 0.9), ("d", 0, "k", "f4", "k", 0.9)], "candidate_id string, position long, candidate_fact_key string, fact_id string, fact_key string, similarity double")
+    want = {
+        "review": ({"a": "needs_confirmation", "b": "needs_confirmation", "c": "rejected", "d": "active"}, {("d", 0, "f0")}),
+        "skip": ({"a": "active", "b": "active", "c": "rejected", "d": "active"}, {("a", 0, ""), ("d", 0, "f0")}),
+        "supersede": ({"a": "active", "b": "needs_confirmation", "c": "rejected", "d": "active"}, {("a", 0, ""), ("a", 1, "f1"), ("d", 0, "f0")}),
+    }
+    for action, (states, written) in want.items():
+        results, rows = writes.consolidate(decided, facts, near, action)
+        assert {r.candidate_id: r.state for r in results.collect()} == states
+        assert {(r.candidate_id, r.position, r.supersedes) for r in rows.collect()} == written
+    with pytest.raises(ValueError, match="unknown action"):
+        writes.override(decided, near, "drop")
+
+
+def test_record_deletion(spark):
+    from cairnlake.operators import writes
+
+    e = spark.createDataFrame([("e1", "p", "", "candidate-summary:c1", None), ("e2", "p", "e1", "", None), ("e3", "p", "", "", "c1"), ("e4", "p", "", "", None), ("e5", "q", "e1", "", None)], "event_id string, project_id string, source_event_id string, idempotency_key string, batch_id string")
+    f = spark.createDataFrame([("f2", "p", "e2", ""), ("f4", "p", "e4", "")], "fact_id string, project_id string, assertion_event_id string, source_event_id string")
+    c = spark.createDataFrame([("c1", "p"), ("c2", "p")], "candidate_id string, project_id string")
+    got = {(r.deleted_id, r.what) for r in writes.record_deletion(e, f, c, "p", "e1").collect()}
+    assert got == {("e1", "event"), ("e2", "event"), ("e3", "event"), ("f2", "fact"), ("c1", "candidate")}
+
+
+def test_uuid5(spark):
+    import uuid
+
+    for name in ("", "eval:a", "eval:é😀"):
+        assert one(spark, evaluation.uuid5(F.col("n")), n=name) == str(uuid.uuid5(uuid.NAMESPACE_URL, name))
+
+
+def test_rubric_points(spark):
+    answers = spark.createDataFrame([("1", "b", "The Blue  whale"), ("2", "b", "red"), ("3", "b", None)], "question_id string, baseline string, answer string")
+    point = lambda i, *w: (i, list(w))
+    rubrics = spark.createDataFrame(
+        [("1", [point("p", "bluewhale", "orca"), point("q", "the")], [point("f", "^red")]), ("2", [point("p", "red")], [point("f", "R.D")]), ("3", [point("p", "x")], [])],
+        "question_id string, required array<struct<id: string, any_of: array<string>>>, forbidden array<struct<id: string, patterns: array<string>>>",
+    )
+    got = {r.question_id: (r.hit, r.points, r.forbidden, r.passed) for r in evaluation.rubric_points(answers, rubrics).collect()}
+    assert got == {"1": (2, 2, [], True), "2": (1, 1, ["f"], False), "3": (0, 1, [], False)}
+
+
+def test_reader_cases(spark):
+    body = "One two three four. Five six seven eight must not be lost. " * 20
+    hits = spark.createDataFrame([("q", "b", "seven?", 1, "s1", "t", "short"), ("q", "b", "seven?", 2, "s2", "t", body), ("q", "b", "seven?", 3, "s3", "t", "last")], "question_id string, baseline string, question string, position long, source_id string, title string, body string")
+    full = evaluation.reader_cases(hits, 600).first()
+    part = evaluation.reader_cases(hits, 900, "excerpt").first()
+    assert full.source_ids == full.complete_source_ids == ["s1", "s3"] and full.n_bytes == len(full.payload.encode()) <= 600
+    assert part.source_ids == ["s1", "s2", "s3"] and part.complete_source_ids == ["s1", "s3"] and part.n_bytes <= 900
+    same = evaluation.rebuilt(spark.createDataFrame([("q", "b", full.payload), ("r", "b", "{}")], "question_id string, baseline string, payload string"), hits, 600)
+    assert {r.question_id: r.same for r in same.collect()} == {"q": True, "r": False}
+
+
+def test_pack_rules():
+    rules = [("A.md", "short"), ("B.md", "x" * 500), ("C.md", "y" * 5000)]
+    whole = context.pack_rules(rules, 1000)
+    assert "short" in whole and "x" * 500 in whole and "C.md [not fully loaded" in whole and len(whole.encode()) <= 1000
+    assert context.pack_rules(rules, 39) == context.pack_rules([], 500) == ""
+    assert context.pack_rules(rules, 80).endswith("not loaded: 2.\n") or len(context.pack_rules(rules, 80).encode()) <= 80
+
+
+def test_pack_spans():
+    span = lambda i, n=20: {"head": f"h{i}", "wide": f"w{i}" * n, "text": f"t{i}"}
+    hits = [{"metadata": "m0\n", "marked": "x0\n", "extra": True, "spans": [span(0)]}, {"metadata": "m1\n", "marked": "x1\n", "extra": False, "spans": [span(1), span(2)]}, {"metadata": "m2\n", "marked": "x2\n", "extra": False, "spans": [span(3)]}]
+    text, packed, omitted = context.pack_spans("base\n", hits, "q", 2000)
+    assert (packed, omitted) == (4, 0) and [text.index(x) for x in ("w1", "w3", "w2", "w0")] == sorted(text.index(x) for x in ("w1", "w3", "w2", "w0"))
+    for budget in range(0, 400, 7):
+        for fallback in (False, True):
+            text, packed, omitted = context.pack_spans("base\n", hits, "q", budget, fallback)
+            assert len(text.encode()) <= budget and packed + omitted == 4
+
+
+def test_expansions_and_facts(spark):
+    text = one(spark, tx.valid_expansions(F.col("q"), F.col("o")), q="Who is it", o=["  who   is IT", "a\nb", "A b", "", "x" * 301, "c", "d", "e"])
+    assert text == ["a b", "c", "d"]
+    assert one(spark, tx.valid_hyde(F.col("q"), F.col("o"), F.col("h")), q="Who", o=["He"], h=" he ") == "" and one(spark, tx.valid_hyde(F.col("q"), F.col("o"), F.col("h")), q="Who", o=["He"], h="She " * 1000) == ("She " * 300)
+    rows = spark.createDataFrame([([("k", "v", 2.0), ("K", "V", 0.1), ("", "x", 0.1), ("n", "y" * 700, None)],)], "o array<struct<key: string, value: string, confidence: double>>")
+    assert [tuple(f) for f in rows.select(tx.valid_facts(F.col("o")).alias("f")).first().f] == [("k", "v", 1.0), ("n", "y" * 600, 0.5)]
+
+
+def test_checked_spans(spark):
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    q = spark.createDataFrame([("1", False, ["s"], "p", "x", ""), ("2", True, [], "p", "x", ""), ("3", False, ["s"], "other", "x", ""), ("4", False, ["s", "t"], "p", "x", "")], "question_id string, unanswerable boolean, required_source_ids array<string>, project string, scope string, scope_id string")
+    s = spark.createDataFrame([("s", "hello world", "p", "x", ""), ("t", "bye", "p", "x", "")], "source_id string, body string, project string, scope string, scope_id string")
+    spans = spark.createDataFrame([("1", "a", "s", 0, 5, sha("hello")), ("2", "b", "s", 0, 5, sha("hello")), ("3", "c", "s", 0, 5, sha("hello")), ("4", "d", "s", 0, 5, sha("hello")), ("4", "d", "s", 6, 99, sha("x")), ("9", "e", "s", 0, 1, sha("h"))], "question_id string, evidence_id string, source_id string, start int, end int, quote_sha256 string")
+    got = {(r.question_id, r.fault) for r in evaluation.span_faults(spans, q, s).collect()}
+    assert got == {("2", "spans of an unanswerable question"), ("3", "source out of scope"), ("4", "evidence id"), ("4", "range"), ("4", "other sources than required"), ("9", "unknown question")}
