@@ -1,15 +1,20 @@
-"""Main text of web pages: page structure, and a host-wide suffix array for pages whose structure doesn't tell.
+"""Main text of web pages: page structure, and a suffix array over all pages of a host.
 
 A page is cut into blocks. Blocks in boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms,
 comments; by element name, role, or a class or id that is a whole mark or a compound of marks) go; class and id say nothing
 of html, body, main and article, and header marks nothing of an article's own header. If the page marks its article (article, main, role=main), the blocks in
-it are the text. Otherwise the remaining blocks are held against the host: the token streams of its pages are
-concatenated, equal streams counted once, and each suffix takes its place by (host, first ``DEPTH`` tokens), which is the
+it are the text, whole: what pages repeat of one another within their articles stays.
+
+What no page marks, the host decides. The token streams of all its pages are concatenated, articles left out and boilerplate
+elements included, equal streams counted once, and each suffix takes its place by (host, first ``DEPTH`` tokens), which is the
 suffix array to that depth. Neighbours from distinct streams share a substring of DEPTH tokens at least. A place is
-common if ``LEAST`` distinct streams and ``SHARE`` percent of the host's have it; a block goes only if common places cover
-it whole, so a sentence that pages quote from one another stays, and so does a page that is merely copied.
+common if ``LEAST`` distinct streams and ``SHARE`` percent of the host's have it. Blocks of pages that mark no article go if
+common places cover them whole, so what other pages of the host mark as a menu isn't taken for text where it isn't marked; a
+sentence that pages quote from one another stays, and so does a page that is merely copied.
 Places are aggregated with partial sums, so a host may hold any share of the pages.
-Repeated runs inside a marked article stay, as the article is wanted whole.
+
+The scan of a page is linear in its length, whatever its tags: open elements are counted by name, and text behind the
+last ``>`` is not searched for tags.
 
 Defined cases: null html gives the empty text; a url without a host (null, empty) is a host of its own, so nothing is held
 against it; pages with fewer than DEPTH tokens have nothing long enough to be covered; other columns are ignored.
@@ -19,7 +24,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -46,6 +53,7 @@ ROLES = set("alert banner complementary contentinfo dialog form menu menubar nav
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+OPEN_END = re.compile(r"<[!?]")
 ENDS = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for x in RAW}
 
 
@@ -75,27 +83,39 @@ def marked(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     return bad, main
 
 
-def blocks(page: str) -> tuple[list[str], list[str]]:
-    """Blocks of the marked article, and the unmarked blocks that are no boilerplate, in page order."""
-    inside: list[str] = []
-    other: list[str] = []
+class Page(NamedTuple):
+    article: list[str]
+    rest: list[str]  # all blocks outside of the article, in page order
+    plain: list[bool]  # whether a block of rest is in no boilerplate element
+
+
+def scan(page: str) -> Page:
+    """The blocks of the marked article, and the others."""
+    out = Page([], [], [])
     held: list[str] = []
     stack: list[tuple[str, bool, bool]] = [("", False, False)]  # name, boilerplate, in the article
+    is_open: Counter = Counter()
 
     def flush() -> None:
         if held:
             text = " ".join("".join(held).split())
-            if text and not stack[-1][1]:
-                (inside if stack[-1][2] else other).append(text)
+            _, bad, main = stack[-1]
+            if text and main and not bad:
+                out.article.append(text)
+            elif text:
+                out.rest.append(text)
+                out.plain.append(not bad)
             held.clear()
 
     def close(name: str) -> None:
-        if any(x[0] == name for x in stack[1:]):
-            while stack.pop()[0] != name:
-                pass
-
-    at = 0
-    while m := TAG.search(page, at):
+        while is_open[name]:
+            last = stack.pop()[0]
+            is_open[last] -= 1
+            if last == name:
+                break
+
+    at, last_end = 0, page.rfind(">") + 1
+    while m := TAG.search(page, at, last_end):
         if m.start() > at:
             text = page[at : m.start()]
             held.append(entities.unescape(text) if "&" in text else text)
@@ -124,17 +144,19 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
                 by_class, by_role = marked(name, m[3] or m[6], main) if m[3] or m[6] else (False, False)
                 bad = bad or by_class or name in SKIP or (name == "header" and not main)
                 stack.append((name, bad, main or by_role or name in ("article", "main")))
+                is_open[name] += 1
     if at < len(page):
-        held.append(entities.unescape(page[at:]))
+        held.append(entities.unescape(OPEN_END.split(page[at:], 1)[0]))
     flush()
-    return inside, other
+    return out
 
 
 def parsed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = [blocks(x) if x else ([], []) for x in pdf["html"]]
+        out = [scan(x or "") for x in pdf["html"]]
         hosts = [re.sub(r"^[a-z][a-z0-9+.-]*://|^//", "", (u or "").lower()).split("/")[0].split("?")[0].rpartition("@")[2] for u in pdf["url"]]
-        yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host": hosts, "text": ["\n".join(a) if a else None for a, _ in out], "rest": [[] if a else b for a, b in out]}).astype({"page_id": "Int64"})
+        text = ["\n".join(p.article) if p.article or not any(p.plain) else None for p in out]
+        yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host": hosts, "text": text, "rest": [p.rest for p in out], "plain": [p.plain for p in out]}).astype({"page_id": "Int64"})
 
 
 def places(tokens: list[str]) -> np.ndarray:
@@ -159,17 +181,17 @@ def suffixes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(found, columns=["host", "stream", "place"]).astype({"place": "int64"})
 
 
-def without_common(rest: list[str], common: list[int] | None) -> str:
-    """The blocks that common places don't cover whole."""
+def without_common(rest: list[str], plain: list[bool], common: list[int] | None) -> str:
+    """The blocks that are in no boilerplate element and that common places don't cover whole."""
     tokens = tokens_of(rest)
     covered = np.zeros(len(tokens), bool)
     if common is not None and len(common):
         for i in np.flatnonzero(np.isin(places(tokens), np.asarray(common, np.int64))):
             covered[i : i + DEPTH] = True
     out, at = [], 0
-    for block in rest:
+    for block, is_plain in zip(rest, plain):
         n = len(block.split())
-        if not covered[at : at + n].all():
+        if is_plain and not covered[at : at + n].all():
             out.append(block)
         at += n
     return "\n".join(out)
@@ -177,20 +199,25 @@ def without_common(rest: list[str], common: list[int] | None) -> str:
 
 def finished(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": [without_common(a, b) for a, b in zip(pdf["rest"], pdf["common"])]}).astype({"page_id": "Int64"})
+        yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": [without_common(*x) for x in zip(pdf["rest"], pdf["plain"], pdf["common"])]}).astype({"page_id": "Int64"})
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
-    schema = "page_id long, url string, host string, text string, rest array<string>"
-    rows = cut(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(parsed, schema), "blocks")
-    told = rows.where("text IS NOT NULL OR size(rest) = 0").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
-    open_rows = rows.where("text IS NULL AND size(rest) > 0").withColumn("stream", F.sha2(F.array_join("rest", " "), 256))
-    texts = open_rows.where("host <> ''").select("host", "stream", "rest").dropDuplicates(["host", "stream"])
+def common_places(rows: DataFrame) -> DataFrame:
+    """(host, stream, common): for each distinct stream of a host its places that are common there."""
+    texts = rows.where("host <> '' AND size(rest) > 0").select("host", "stream", "rest").dropDuplicates(["host", "stream"])
     places_of = texts.mapInPandas(suffixes, "host string, stream string, place long")
     many = texts.groupBy("host").agg(F.count("*").alias("n"))
     held = places_of.groupBy("host", "place").agg(F.count("*").alias("c")).where(F.col("c") >= LEAST)
     shared = held.join(many, "host").where(F.col("c") * 100 >= F.col("n") * SHARE).select("host", "place")
-    common = places_of.join(shared, ["host", "place"]).groupBy("host", "stream").agg(F.collect_set("place").alias("common"))
-    untold = open_rows.join(common, ["host", "stream"], "left").select("page_id", "url", "rest", "common").mapInPandas(finished, "page_id long, url string, text string")
+    return places_of.join(shared, ["host", "place"]).groupBy("host", "stream").agg(F.collect_set("place").alias("common"))
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    schema = "page_id long, url string, host string, text string, rest array<string>, plain array<boolean>"
+    rows = cut(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(parsed, schema), "blocks")
+    told = rows.where("text IS NOT NULL").select("page_id", "url", "text")
+    streams = rows.withColumn("stream", F.sha2(F.array_join("rest", " "), 256))
+    untold = streams.where("text IS NULL").join(common_places(streams), ["host", "stream"], "left")
+    untold = untold.select("page_id", "url", "rest", "plain", "common").mapInPandas(finished, "page_id long, url string, text string")
     return told.union(untold).withColumn("n_chars", F.length("text").cast("long"))

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import string
+import time
 import zlib
 
 import numpy as np
@@ -122,6 +123,46 @@ def test_decontamination_of_short_items(spark):
     assert set(map(tuple, decontam.overlaps(docs, some).collect())) == {x for x in want if x[1] == 10}
 
 
+def brute_overlaps(docs, items):
+    """(doc, item, best window, window) over every shift and every window of the item."""
+    out = set()
+    for d, text in docs:
+        t = text.split()
+        for i, item in items:
+            x = item.split()
+            w = min(len(x), decontam.WINDOW)
+            best = 0
+            for shift in range(-len(x) + 1, len(t)):
+                same = [0 <= k + shift < len(t) and t[k + shift] == y for k, y in enumerate(x)]
+                best = max(best, max(sum(same[k : k + w]) for k in range(len(x) - w + 1)))
+            if 100 * best >= decontam.SHARE * w:
+                out.add((d, i, best, w))
+    return out
+
+
+def test_decontamination_against_all_windows(spark):
+    rng = random.Random(12)
+    say = lambda n, words: " ".join(rng.choice(words) for _ in range(n))
+    few, many = ["a", "b", "c"], [f"w{i}" for i in range(50)]
+    items = [(i, say(rng.randint(1, 40), few if i % 3 else many)) for i in range(24)] + [(90, "a " * 30), (91, items_of := say(60, many))]
+    docs = []
+    for i in range(60):
+        docs.append((i, say(rng.randint(0, 60), few if i % 2 else many)))
+        x = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 5)):
+            x[rng.randrange(len(x))] = rng.choice(many)
+        docs.append((100 + i, f"{say(5, many)} {' '.join(x)} {say(5, few)}"))
+    docs += [(300, "a " * 50), (301, items_of), (302, "")]
+    got = set(map(tuple, decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()))
+    assert got == brute_overlaps(docs, items) and len(got) > 100
+
+
+def test_decontamination_of_one_token_said_again_and_again(spark):
+    docs = spark.createDataFrame([(1, "la " * 16_000), (2, "la " * 12), (3, "lo " * 16_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "la " * 100)], "item_id long, text string")
+    assert [tuple(r) for r in decontam.overlaps(docs, items).orderBy("doc_id").collect()] == [(1, 7, 13, 13), (2, 7, 12, 13)]
+
+
 def test_decontamination(spark, docs, rows, empty):
     rng = random.Random(3)
     words = fx.vocabulary(rng)
@@ -177,6 +218,15 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffixes.dedup(empty).count() == 0
 
 
+def lows_by_table(texts, lows):
+    windows = [[t[i : i + suffixes.MATCH] for i in range(len(t) - suffixes.MATCH + 1)] for t in texts]
+    least = {}
+    for ws, low in zip(windows, lows.tolist()):
+        for w in ws:
+            least[w] = min(low, least.get(w, low))
+    return [least[w] for ws in windows for w in ws]
+
+
 def test_merged_transforms():
     rng = random.Random(5)
     for _ in range(20):
@@ -185,7 +235,9 @@ def test_merged_transforms():
         some = sorted(made)
         if len(some) > 1:
             low = np.array([rng.randint(0, 99) for _ in some])
-            assert (suffixes.smallest(some, low) == suffixes.by_table(some, low)).all()
+            assert suffixes.smallest(some, low).tolist() == suffixes.smallest_plain(some, low).tolist() == lows_by_table(some, low)
+            zeros = [t.replace(b"a", b"\0") for t in some]
+            assert suffixes.smallest_plain(zeros, low).tolist() == lows_by_table(zeros, low)
             text = b"\0".join(some) + b"\0"
             assert suffixes.transform(some)[1].tolist() == [i for _, i in sorted((text[i:].split(b"\0")[0], i) for i in range(len(text)))]
 
@@ -222,12 +274,73 @@ def test_extract(spark):
     ],
 )
 def test_extract_marks(page, want):
-    assert "\n".join(extract.blocks(page)[0]) == want
+    assert "\n".join(extract.scan(page).article) == want
 
 
 def test_extract_marks_outside_an_article():
     page = '<body class="menu"><div class="site-header">no</div><div class="header">no</div><div class="main-nav">no</div><div class="section-header">head</div><p>text</p><div id="site-footer">no</div></body>'
-    assert extract.blocks(page) == ([], ["head", "text"])
+    got = extract.scan(page)
+    assert not got.article and [x for x, plain in zip(got.rest, got.plain) if plain] == ["head", "text"]
+
+
+def test_extract_is_linear_in_bad_markup():
+    began = time.perf_counter()
+    assert extract.scan("text " + "<a " * 200_000).rest == ["text " + " ".join(["<a"] * 200_000)]
+    assert extract.scan("<p>x</p>" + "<a \"" * 100_000 + ">y").rest[0] == "x"
+    assert extract.scan("<div>" * 50_000 + "z" + "</p></span>" * 50_000).rest == ["z"]
+    assert extract.scan("a<!-- open " * 20_000).rest == ["a"] and extract.scan("a > b <!-- open").rest == ["a > b"]
+    assert time.perf_counter() - began < 10
+
+
+def brute_common(pages):
+    """(url's host) -> windows of DEPTH tokens that LEAST distinct streams and SHARE percent of them have."""
+    streams = collections.defaultdict(set)
+    for _, url, html in pages:
+        if rest := extract.scan(html).rest:
+            streams[url.split("/")[2]].add(" ".join(rest))
+    out = {}
+    for host, texts in streams.items():
+        seen = collections.Counter(w for t in texts for w in {tuple(t.split()[i : i + extract.DEPTH]) for i in range(len(t.split()) - extract.DEPTH + 1)})
+        out[host] = {w for w, n in seen.items() if n >= extract.LEAST and 100 * n >= extract.SHARE * len(texts)}
+    return out
+
+
+def test_extract_against_brute_force(spark):
+    """Pages with and without a marked article, menus that some mark and others don't, sentences that pages share."""
+    rng = random.Random(9)
+    words = fx.vocabulary(rng, 60)
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    menus = {h: [say(rng.randint(8, 14)) for _ in range(2)] for h in range(5)}
+    pages = []
+    for i in range(120):
+        h = rng.randrange(5)
+        parts = [f"<nav>{m}</nav>" if rng.random() < 0.5 else f"<div>{m}</div>" for m in menus[h] if rng.random() < 0.8]
+        body = "".join(f"<p>{say(rng.randint(1, 20))}</p>" for _ in range(rng.randint(1, 4)))
+        if i % 3 == 0:
+            body = f"<article>{body}<p>{menus[h][0]}</p></article>"
+        html = "".join(parts) + body + (f"<div>{menus[h][0]} {say(2)}</div>" if i % 4 == 0 else "")
+        pages.append((i, f"http://h{h}.example/{i}", html))
+        if i % 10 == 0:
+            pages.append((1000 + i, f"http://h{h}.example/copy{i}", html))
+    common = brute_common(pages)
+    want, dropped = {}, 0
+    for page, url, html in pages:
+        got = extract.scan(html)
+        t = " ".join(got.rest).split()
+        covered = [False] * len(t)
+        for i in range(len(t) - extract.DEPTH + 1):
+            if tuple(t[i : i + extract.DEPTH]) in common[url.split("/")[2]]:
+                covered[i : i + extract.DEPTH] = [True] * extract.DEPTH
+        kept, at = [], 0
+        for block, plain in zip(got.rest, got.plain):
+            n = len(block.split())
+            dropped += plain and all(covered[at : at + n])
+            if plain and not all(covered[at : at + n]):
+                kept.append(block)
+            at += n
+        want[page] = "\n".join(got.article or kept)
+    rows = extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in rows} == want and dropped > 30
 
 
 def test_extract_keeps_what_few_pages_share(spark):
@@ -320,7 +433,7 @@ def test_language(spark):
     say = {"en": "the quick brown fox jumps over the lazy dog and then it runs away from the house with that bone", "de": "der schnelle braune fuchs springt über den faulen hund und läuft dann mit dem knochen aus dem haus", "fr": "le renard brun saute par dessus le chien paresseux et puis il quitte la maison avec cet os"}
     rng = random.Random(4)
     rows = [(i, " ".join(rng.sample(say[g].split(), 9)), g) for i, g in enumerate([*say] * 40)]
-    rows += [(500, None, "en"), (501, "", "en"), (502, "123 !!", None), (None, say["fr"], "de"), (503, "x" * 3000, None), (503, "x" * 3000, None)]
+    rows += [(500, None, "en"), (501, "", "en"), (502, "123 !!", None), (504, "½ ²", "en"), (505, "①② Ⅷ", None), (None, say["fr"], "de"), (503, "x" * 3000, None), (503, "x" * 3000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("word", F.lit(1)).withColumn("n", F.lit("n"))
     got = langid.predict(df, vocabulary_path()).collect()
     assert len(got) == len(rows)
@@ -328,7 +441,7 @@ def test_language(spark):
     for d, _, g in rows[:120]:
         assert by[d].held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= by[d].score <= 1
         assert by[d].lang_pred == g
-    assert all(by[d].lang_pred == "und" and by[d].score == 0 for d in (500, 501, 502)) and by[None].lang_pred == "fr"
+    assert all(by[d].lang_pred == "und" and by[d].score == 0 for d in (500, 501, 502, 504, 505)) and by[None].lang_pred == "fr"
     assert {r.lang_pred for r in langid.predict(df.withColumn("lang", F.lit(None).cast("string")), vocabulary_path()).collect()} == {"und"}
     assert langid.predict(df.limit(0), vocabulary_path()).count() == 0
 
@@ -343,6 +456,52 @@ def test_forward_sums_all_segmentations():
         return 1.0 if not word else sum((0.1 + (n == 1) * langid.UNKNOWN) * every(word[n:]) for n in (1, 2, 3) if len(word) >= n and word[:n] in ("a", "b", "ab", "aba", "ba"))
 
     assert abs(got - every("ababa")) < 1e-12
+    for word in ("ababa", "a", "cab", "ab" * 60):
+        want = np.log(langid.forward(trie, trie.encode([word]), p)[-1][0])
+        assert abs(langid.forward_long(trie, word, p) - want).max() < 1e-9
+
+
+def test_language_against_brute_force(spark):
+    """Learnt probabilities and predictions against enumeration of all segmentations of each word."""
+    pieces = ["▁", "a", "b", "c", "ab", "▁a", "bc", "▁ca", "abc"]
+    counts = {"x": {"ab": 3, "cab": 1, "abc": 2}, "y": {"bc": 4, "ca": 2}}
+    trie = langid.Trie(pieces)
+
+    def cuts(word):
+        return [[]] if not word else [[word[:n], *rest] for n in range(1, min(3, len(word)) + 1) if word[:n] in pieces for rest in cuts(word[n:])]
+
+    def state(piece):
+        s = 0
+        for c in piece:
+            s = trie.next_state(s, c)
+        return s
+
+    learnt = {}
+    for lang, words in counts.items():
+        prob = None
+        for _ in range(langid.ROUNDS + 1):
+            seen = dict.fromkeys(pieces, langid.PRIOR)
+            for word, n in words.items():
+                w = "▁" + word
+                if prob is None:
+                    for i in range(len(w)):
+                        for p in pieces:
+                            seen[p] += n * w.startswith(p, i)
+                else:
+                    odds = [np.prod([prob[p] for p in c]) for c in cuts(w)]
+                    for c, o in zip(cuts(w), odds):
+                        for p in c:
+                            seen[p] += n * o / sum(odds)
+            prob = {p: v / sum(seen.values()) for p, v in seen.items()}
+        learnt[lang] = prob
+        got = langid.learn(trie, collections.Counter(words))
+        assert all(abs(got[state(p)] - v) < 1e-6 for p, v in prob.items())
+    scorer = langid.Scorer(trie, ["x", "y"], np.stack([langid.learn(trie, collections.Counter(counts[g])) for g in ("x", "y")], axis=1))
+    for text in ("ab abc", "bc ca", "cab ½ bc", "a b c ab"):
+        total = {g: sum(np.log(sum(np.prod([learnt[g][p] for p in c]) for c in cuts("▁" + w))) for w in langid.words(text)) for g in ("x", "y")}
+        best = max(total, key=total.get)
+        lang, score = scorer.batch([text])[0]
+        assert lang == best and abs(score - 1 / sum(np.exp(v - total[best]) for v in total.values())) < 1e-5
 
 
 def test_quality(docs, rows, empty):
