@@ -1,10 +1,11 @@
 """Language ID with unigram pieces: the probability of a text under a language sums over all its segmentations.
 
-The pieces are those of a fixed public vocabulary, up to ``LONGEST`` characters. Their probabilities by language are
+The pieces are all those of a fixed public vocabulary (the longest has ``LONGEST`` characters). Their probabilities by language are
 learnt from at most ``PER_LANG`` labelled documents a language outside the held-out fold, in hash order (the documented
 sample): first from all occurrences of the pieces, then by ``ROUNDS`` rounds of expectation and maximisation over all
-segmentations. A text's words are scored by the forward algorithm, vectorised over distinct words of one length;
-a word's score is kept, so a text costs a look-up a word. Words over ``PART`` characters are scored in parts.
+segmentations. A text's words (runs of letters) are scored by the forward algorithm, vectorised over distinct words of
+one length; a word's score is kept, so a text costs a look-up a word. Words over ``PART`` characters are scored one by
+one, with the last ``LONGEST`` states of the same recursion; only learning takes such words in parts.
 
 Defined cases: null text and texts without a letter are ``und`` with score 0; null doc_id is never learnt from and
 counts as held out; without any labelled document everything is ``und``; repeated rows and other columns change nothing.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 FOLDS = 5
 PER_LANG = 500
 ROUNDS = 2
-LONGEST = 8
+LONGEST = 16
 PART = 32
 PRIOR = 0.01
 UNKNOWN = 1e-9
@@ -34,7 +35,8 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of word characters without digits that hold a letter; fractions and other number signs alone make none."""
+    return [w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
 
 
 class Trie:
@@ -57,6 +59,12 @@ class Trie:
         self.is_piece = np.zeros(self.states, bool)
         self.is_piece[ends] = True
 
+    def next_state(self, state: int, c: str) -> int:
+        """0 if no piece goes on with c."""
+        key = state * self.width + self.codes.get(c, 0)
+        at = int(np.searchsorted(self.keys, key))
+        return int(self.next[at]) if at < len(self.keys) and self.keys[at] == key else 0
+
     def encode(self, parts: list[str]) -> np.ndarray:
         """Parts of one length, as codes; 0 is a character of no piece."""
         return np.array([[self.codes.get(c, 0) for c in p] for p in parts], np.int64)
@@ -91,6 +99,28 @@ def forward(trie: Trie, codes: np.ndarray, p: np.ndarray) -> list[np.ndarray]:
     return a
 
 
+def forward_long(trie: Trie, word: str, p: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum over the segmentations of a long word: the last LONGEST states, scaled as they go."""
+    ahead = [np.zeros(p.shape[1]) for _ in range(LONGEST + 1)]
+    ahead[0] += 1
+    logs = np.zeros(p.shape[1])
+    for s in range(len(word)):
+        here = ahead.pop(0)
+        ahead.append(np.zeros(p.shape[1]))
+        ahead[0] += here * UNKNOWN
+        state = 0
+        for size, c in enumerate(word[s : s + LONGEST]):
+            state = trie.next_state(state, c)
+            if not state:
+                break
+            if trie.is_piece[state]:
+                ahead[size] += here * p[state]
+        scale = np.maximum(ahead[0], 1e-300)
+        logs += np.log(scale)
+        ahead = [x / scale for x in ahead]
+    return logs
+
+
 def by_length(parts: Iterable[str]) -> dict[int, list[str]]:
     out = defaultdict(list)
     for x in parts:
@@ -134,20 +164,22 @@ class Scorer:
     def __init__(self, trie: Trie, langs: list[str], p: np.ndarray) -> None:
         self.trie, self.langs, self.p = trie, langs, p
         self.row: dict[str, int] = {}
+        self.used = 0
         self.logs = np.empty((CACHE, len(langs)))
 
     def add(self, new: set[str]) -> None:
         """Score words not seen before."""
         parts: dict[str, np.ndarray] = {}
-        for _, same in by_length({x for w in new for x in parts_of(w)}).items():
+        for _, same in by_length({START + w for w in new if len(w) < PART}).items():
             for i in range(0, len(same), 20_000):
                 some = same[i : i + 20_000]
                 parts.update(zip(some, np.log(np.maximum(forward(self.trie, self.trie.encode(some), self.p)[-1], 1e-300))))
         for w in new:
-            at = self.row[w] = len(self.row)
+            at = self.row[w] = self.used
+            self.used += 1
             if at >= len(self.logs):
                 self.logs = np.concatenate([self.logs, np.empty_like(self.logs)])
-            self.logs[at] = sum(parts[x] for x in parts_of(w))
+            self.logs[at] = parts[START + w] if len(w) < PART else forward_long(self.trie, START + w, self.p)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         seq = words(text)
@@ -161,11 +193,15 @@ class Scorer:
         out: list[tuple[str, float]] = []
         for i in range(0, len(texts), 500):
             some = texts[i : i + 500]
-            if len(self.row) >= CACHE:
+            if self.used >= CACHE:
                 self.row.clear()
+                self.used = 0
             new = {w for t in some for w in words(t)}.difference(self.row)
             self.add(new)
             out += [self.predict(t) for t in some]
+            for w in new:
+                if len(w) >= PART:  # a long run of letters isn't kept
+                    del self.row[w]
         return out
 
 
