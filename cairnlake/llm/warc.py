@@ -219,5 +219,5 @@ def captures(pages: DataFrame, min_bytes: int = 0, folder: str | None = None) ->
     revisit = (F.col("size") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     rows = rows.select("page_id", "url", "html", "time", F.col("first_id").alias("refers_to"), revisit.alias("revisit"))
     manifest = cut(rows.mapInPandas(lambda it: written(it, folder), "run string"), "manifest")
-    runs = cut(manifest.repartition("run").mapInPandas(lambda it: local_runs(it, folder), RUNS), "runs")
+    runs = cut(manifest.repartition(max(1, manifest.count()), "run").mapInPandas(lambda it: local_runs(it, folder), RUNS), "runs")
     return runs.repartitionByRange("url_key", "captured_at", "page_id").mapInPandas(merged, RUNS)
