@@ -299,10 +299,23 @@ def abstain(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.where(F.coalesce("channel_best", F.lit(0.0)) >= threshold)
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds at: the place of each row in an order over the whole table, from 0, without the table in one task.
+
+    Rows are dealt by range, sorted there and written with their place; the sizes of the ranges, a row each, give the rest.
+    """
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(sorted_rows.withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("_range", F.shiftright("_m", 33)).withColumn("_at", F.col("_m").bitwiseAND((1 << 33) - 1))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return placed.join(sizes.select("_range", "_before"), "_range").withColumn("at", F.col("_before") + F.col("_at")).drop("_m", "_range", "_at", "_before")
+
+
 def adjacent(hits: DataFrame, universe: DataFrame, count: int) -> DataFrame:
     """Neighbours by recording time of each hit that are no hits: (query_id, record_type, ref_id, seed), seed the best hit's rank."""
     count = min(count, ADJACENT_MAX)
-    placed = universe.withColumn("at", F.row_number().over(Window.partitionBy("project_id").orderBy("recorded_at", "ref_id", "record_type")))
+    placed = numbered(universe, "project_id", "recorded_at", "ref_id", "record_type")
     seeds = hits.select("query_id", "record_type", "ref_id", F.col("position").alias("seed")).join(placed, ["record_type", "ref_id"]).select("query_id", "project_id", "seed", F.explode(F.sequence(F.col("at") - count, F.col("at") + count)).alias("at"))
     near = seeds.join(placed, ["project_id", "at"]).groupBy(*KEY).agg(F.min("seed").alias("seed"), F.first("recorded_at").alias("recorded_at"))
     return near.join(hits.select(*KEY), KEY, "left_anti")

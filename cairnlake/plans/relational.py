@@ -265,7 +265,7 @@ def joi15(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(a.select(F.col("ref_id").alias("other"), "p"), "p").where("ref_id <> other").groupBy("ref_id").agg(F.count_distinct("other").alias("reached"))
 
 
-SEEDS = "SELECT o_orderkey FROM orders WHERE o_orderpriority='1-URGENT' AND o_totalprice > (SELECT max(o_totalprice)*0.98 FROM orders)"
+SEEDS = "SELECT o_orderkey FROM orders WHERE o_orderkey%50=0"
 
 
 @query("grf06_entity_expand", f"""WITH l AS (SELECT DISTINCT l_orderkey::VARCHAR r, l_partkey e FROM lineitem JOIN orders ON o_orderkey=l_orderkey), s AS ({SEEDS}), t AS (SELECT o_orderkey qid, o_orderkey::VARCHAR r FROM s),
@@ -280,8 +280,7 @@ def grf06(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.retrieval import entity_expand
 
     o = table(spark, sf, "orders")
-    top = o.agg((F.max("o_totalprice") * 0.98).alias("m"))
-    seeds = o.where("o_orderpriority = '1-URGENT'").join(F.broadcast(top), F.col("o_totalprice") > F.col("m")).select(F.col("o_orderkey").alias("query_id"), F.col("o_orderkey").cast("string").alias("ref_id"))
+    seeds = o.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderkey").cast("string").alias("ref_id"))
     recs = o.select(F.col("o_orderkey").cast("string").alias("ref_id"), F.col("o_orderdate").alias("recorded_at"))
     return entity_expand(seeds, recs, d.links(spark, sf)).select("query_id", "ref_id", "hop", "shared", F.col("position").cast("long").alias("position"))
 
@@ -289,10 +288,10 @@ def grf06(spark: SparkSession, sf: str) -> DataFrame:
 @query("joi14_adjacent", """WITH u AS (SELECT *, row_number() OVER (ORDER BY ts, event_id::VARCHAR) AS p FROM events), h AS (SELECT event_id, p, row_number() OVER (ORDER BY ts, event_id::VARCHAR) AS seed FROM u WHERE event_type='signup'),
 n AS (SELECT u.event_id, min(h.seed) seed FROM h JOIN u ON u.p BETWEEN h.p-2 AND h.p+2 GROUP BY 1) SELECT event_id::VARCHAR ref_id, seed FROM n WHERE event_id NOT IN (SELECT event_id FROM h)""")
 def joi14(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.retrieval import adjacent
+    from ..operators.retrieval import adjacent, numbered
 
     e = table(spark, sf, "events").select(F.lit("event").alias("record_type"), F.col("event_id").cast("string").alias("ref_id"), F.col("ts").alias("recorded_at"), F.lit("p").alias("project_id"), "event_type")
-    hits = e.where("event_type = 'signup'").select(F.lit(0).cast("long").alias("query_id"), "record_type", "ref_id", F.row_number().over(Window.orderBy("recorded_at", "ref_id")).cast("long").alias("position"))
+    hits = numbered(e.where("event_type = 'signup'"), "recorded_at", "ref_id").select(F.lit(0).cast("long").alias("query_id"), "record_type", "ref_id", (F.col("at") + 1).alias("position"))
     return adjacent(hits, e.drop("event_type"), 2).select("ref_id", "seed")
 
 
