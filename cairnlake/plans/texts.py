@@ -133,9 +133,14 @@ def dat03(spark: SparkSession, sf: str) -> DataFrame:
     return asked.union(d.queries(spark, sf).select("query_id", "query")).select("query_id", "query", tm.temporal_intent(F.col("query"), d.NOW).alias("i")).select("query_id", "query", "i.*")
 
 
-@query("dat06_date_tags")
+SEASON = "CASE WHEN month(o_orderdate) IN (3,4,5) THEN 'spring' WHEN month(o_orderdate) IN (6,7,8) THEN 'summer' WHEN month(o_orderdate) IN (9,10,11) THEN 'fall' ELSE 'winter' END"
+
+
+@query("dat06_date_tags", f"""SELECT o_orderkey, concat_ws('|', strftime(o_orderdate,'%Y-%m-%d'), strftime(o_orderdate,'%B %-d, %Y'), strftime(o_orderdate,'%B %Y'), {SEASON}||strftime(o_orderdate,' %Y'), CASE WHEN month(o_orderdate) IN (9,10,11) THEN strftime(o_orderdate,'autumn %Y') END, strftime(o_orderdate,'%Y')) tags FROM orders""")
 def dat06(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", F.array_join(tm.date_tags(F.col("html")), "|").alias("tags")).where("tags <> ''")
+    """Dates of orders as sentences say them."""
+    said = F.concat(F.lit("Ordered on "), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit("."))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(tm.date_tags(said), "|").alias("tags"))
 
 
 @query("dat08_from_millis", "SELECT event_id, ts FROM events")
