@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import evaluation, writes
 from ..session import table
+from ..sources.events import to_export
 from . import domain as d
 from .registry import query
 
@@ -359,3 +360,14 @@ def eva04(spark: SparkSession, sf: str) -> DataFrame:
     )
     questions = docs.select(text_of("doc_id").alias("question_id"), F.col("lang").alias("category"), no.alias("unanswerable"))
     return evaluation.run_summary(scored, questions, spark.createDataFrame([("b",)], "baseline string")).select("category", "expected", "completed", "exact_match_rate")
+
+
+@query("snk05_export", """SELECT n_name project_root, concat(strftime(o_orderdate,'%Y-%m-%d'),'-',lower(o_orderpriority[1:1]),'-',substr(o_orderkey::VARCHAR,1,8),'.md') file, o_orderkey::VARCHAR body FROM orders JOIN customer ON c_custkey=o_custkey JOIN nation ON n_nationkey=c_nationkey WHERE o_orderstatus='O' AND o_orderkey%5<>0 AND o_orderdate>=TIMESTAMP '1995-01-01'""")
+def snk05(spark: SparkSession, sf: str) -> DataFrame:
+    """Open orders as events of their nation, titled by their priority's number; a fifth were imported."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    events = o.select(
+        F.col("n_name").alias("project_root"), text_of("o_orderkey").alias("event_id"), F.substring("o_orderpriority", 1, 1).alias("title"), F.array("o_orderpriority").alias("tags"), text_of("o_orderkey").alias("body"), F.col("o_orderdate").alias("recorded_at"),
+        F.when(F.col("o_orderstatus") == "O", "active").otherwise("retracted").alias("status"), F.lit("").alias("operation"), F.when(F.col("o_orderkey") % 5 == 0, "legacy_import").otherwise("agent").alias("source"),
+    )
+    return to_export(events, F.lit("1995-01-01").cast("timestamp_ntz")).select("project_root", "file", "body")

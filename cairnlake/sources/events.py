@@ -131,3 +131,52 @@ def write_notes(notes: DataFrame, path: str) -> None:
 def append_usage(runs: DataFrame, path: str) -> None:
     """Telemetry rows; of a query only its digest is stored."""
     runs.withColumn("query_sha256", F.sha2("query", 256)).drop("query").write.mode("append").parquet(path)
+
+
+def append_shadow(rows: DataFrame, path: str) -> None:
+    """Comparisons of two result lists (legacy_refs, refs) with their overlap; of a query only its digest is stored."""
+    from ..operators.reports import overlap
+
+    rows.withColumn("query_sha256", F.sha2("query", 256)).withColumn("overlap", overlap(F.col("legacy_refs"), F.col("refs"))).drop("query").write.mode("append").parquet(path)
+
+
+def to_export(events: DataFrame, since: Column | None = None) -> DataFrame:
+    """Legacy notes (project_root, file, title, time, tags, body) of active events that are no operations and were not
+    imported from legacy notes, recorded since an instant."""
+    from ..functions.text import safe_title
+
+    rows = events.where("status = 'active' AND coalesce(operation, '') = '' AND source <> 'legacy_import'")
+    rows = rows if since is None else rows.where(F.col("recorded_at") >= since)
+    file = F.concat_ws("-", F.date_format("recorded_at", "yyyy-MM-dd"), safe_title(F.col("title")), F.substring("event_id", 1, 8))
+    return rows.select("project_root", F.concat(file, F.lit(".md")).alias("file"), "title", F.col("recorded_at").alias("time"), F.array_join("tags", ",").alias("tags"), "body")
+
+
+def fingerprint(df: DataFrame) -> str:
+    """Digest of a table's rows in any order: their number and the XOR of their SHA-256, in 64-bit parts."""
+    digest = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    parts = [F.bit_xor(F.conv(F.substring(digest, 1 + 16 * i, 15), 16, 10).cast("long")).alias(f"p{i}") for i in range(4)]
+    row = df.agg(F.count("*").alias("n"), *parts).first()
+    return ":".join(str(x or 0) for x in row)
+
+
+def write_dataset(folder: str, sources: DataFrame, questions: DataFrame) -> DataFrame:
+    """Write an evaluation dataset, sources and questions by split, and its manifest (name, fingerprint); a folder that holds
+    one already is refused by the writer."""
+    spark = sources.sparkSession
+    splits = [r.split for r in questions.select("split").distinct().orderBy("split").collect()]  # a few names
+    parts = {"sources": sources} | {f"questions.{s}": questions.where(F.col("split") == s) for s in splits}
+    for name, df in parts.items():
+        df.write.mode("error").json(f"{folder}/{name}")
+    manifest = spark.createDataFrame([(n, fingerprint(df)) for n, df in parts.items()], "name string, fingerprint string")
+    manifest.coalesce(1).write.mode("error").json(f"{folder}/manifest")
+    return manifest
+
+
+def read_dataset(spark: SparkSession, folder: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables of a dataset, each checked against the manifest; schemas has sources and questions."""
+    tables = {}
+    for name, said in spark.read.schema("name string, fingerprint string").json(f"{folder}/manifest").collect():  # a row a table
+        tables[name] = read_jsonl(spark, f"{folder}/{name}", schemas[name.split(".")[0]])
+        if fingerprint(tables[name]) != said:
+            raise ValueError(f"{name} differs from the manifest")
+    return tables

@@ -569,3 +569,32 @@ def test_checked_spans(spark):
     spans = spark.createDataFrame([("1", "a", "s", 0, 5, sha("hello")), ("2", "b", "s", 0, 5, sha("hello")), ("3", "c", "s", 0, 5, sha("hello")), ("4", "d", "s", 0, 5, sha("hello")), ("4", "d", "s", 6, 99, sha("x")), ("9", "e", "s", 0, 1, sha("h"))], "question_id string, evidence_id string, source_id string, start int, end int, quote_sha256 string")
     got = {(r.question_id, r.fault) for r in evaluation.span_faults(spans, q, s).collect()}
     assert got == {("2", "spans of an unanswerable question"), ("3", "source out of scope"), ("4", "evidence id"), ("4", "range"), ("4", "other sources than required"), ("9", "unknown question")}
+
+
+def test_dataset_round_trip(spark, tmp_path):
+    schemas = {"sources": "source_id string, body string", "questions": "question_id string, split string, answer string"}
+    sources = spark.createDataFrame([("s1", "é\n"), ("s2", None), ("s2", None)], schemas["sources"])
+    questions = spark.createDataFrame([("1", "dev", "a"), ("2", "test", None)], schemas["questions"])
+    ev.write_dataset(f"{tmp_path}/d", sources, questions)
+    got = ev.read_dataset(spark, f"{tmp_path}/d", schemas)
+    assert set(got) == {"sources", "questions.dev", "questions.test"} and got["sources"].count() == 3 and got["questions.test"].first().question_id == "2"
+    with pytest.raises(Exception, match="(?i)exists"):
+        ev.write_dataset(f"{tmp_path}/d", sources, questions)
+    sources.limit(2).write.mode("overwrite").json(f"{tmp_path}/d/sources")
+    with pytest.raises(ValueError, match="sources differs"):
+        ev.read_dataset(spark, f"{tmp_path}/d", schemas)
+
+
+def test_shadow_rows(spark, tmp_path):
+    rows = spark.createDataFrame([("q", ["a", "b"], ["b", "c", "d"])], "query string, legacy_refs array<string>, refs array<string>")
+    ev.append_shadow(rows, f"{tmp_path}/s")
+    ev.append_shadow(rows, f"{tmp_path}/s")
+    got = spark.read.parquet(f"{tmp_path}/s").collect()
+    assert len(got) == 2 and got[0].overlap == 0.5 and got[0].query_sha256 == hashlib.sha256(b"q").hexdigest() and "query" not in got[0]
+
+
+def test_neighbours_within(spark):
+    parts = spark.createDataFrame([("p", f"g{i}", i * 10, i * 10 + (50 if i == 1 else 10)) for i in range(6)], "parent_id string, passage_id string, start long, end long")
+    target = spark.createDataFrame([("p", "g2")], "parent_id string, passage_id string")
+    ids = lambda radius, most: [r.passage_id for r in passages.neighbors_within(parts, target, radius, most).orderBy("start").collect()]
+    assert ids(0, 10) == ["g2"] and ids(2, 40) == ["g0", "g2", "g3", "g4"] and ids(1, 70) == ["g1", "g2", "g3"] and ids(5, 30) == ["g0", "g2", "g3"]
