@@ -28,7 +28,7 @@ from .common import cut, mix
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
 SHARD_KEYS = 50_000
 MIN_SHARDS = 16
-GROUP = 200_000
+GROUP = 25_000
 GAMMA = 2
 
 
