@@ -50,13 +50,13 @@ FINAL = """y AS (SELECT u.*, source title, round(fused+CASE WHEN lower(trim(text
 z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, ref_id)::INT AS position FROM y)"""
 
 
-def substring(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.substring_channel(d.records(spark, sf), rt.query_terms(d.queries(spark, sf), tx.lexical_terms(F.col("query"))))
+def substring(spark: SparkSession, sf: str, most: int | None = rt.CUT) -> DataFrame:
+    return rt.substring_channel(d.records(spark, sf), rt.query_terms(d.queries(spark, sf), tx.lexical_terms(F.col("query"))), most=most)
 
 
 @query("str04_substring", f"WITH {SUBSTRING} SELECT query_id, ref_id, score FROM s")
 def str04(spark: SparkSession, sf: str) -> DataFrame:
-    return substring(spark, sf).select("query_id", "ref_id", "score")
+    return substring(spark, sf, None).select("query_id", "ref_id", "score")
 
 
 @query("win01_channel_rank", f"WITH {SUBSTRING} SELECT query_id, ref_id, rk::INT AS rank FROM r WHERE rk<=80")
@@ -65,7 +65,7 @@ def win01(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.bm25_channel(d.records(spark, sf), rt.query_terms(d.queries(spark, sf), tx.index_terms(tx.lexical_terms(F.col("query")))))
+    return rt.bm25_channel(d.records(spark, sf), rt.query_terms(d.queries(spark, sf), tx.index_terms(tx.lexical_terms(F.col("query")))), most=rt.CUT)
 
 
 BOTH = f"{SUBSTRING}, {bm25_sql('q')}"
@@ -227,7 +227,7 @@ def ret04(spark: SparkSession, sf: str) -> DataFrame:
 @query("ret06_session_views")
 def ret06(spark: SparkSession, sf: str) -> DataFrame:
     terms = rt.query_terms(d.queries(spark, sf), tx.lexical_terms(F.col("query")))
-    return rt.ranked(rt.session_view_channel(d.messages(spark, sf), terms)).select("query_id", "ref_id", "score", "rank")
+    return rt.ranked(rt.session_view_channel(d.messages(spark, sf), terms, rt.CUT)).select("query_id", "ref_id", "score", "rank")
 
 
 @query("pas08_search")
