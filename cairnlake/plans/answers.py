@@ -72,7 +72,8 @@ def ctx02(spark: SparkSession, sf: str) -> DataFrame:
 def ret09(spark: SparkSession, sf: str) -> DataFrame:
     recs, qs = d.records(spark, sf), d.queries(spark, sf)
     found = passages.search(qs, recs).select("query_id", F.col("parent_id").alias("ref_id"), "position", "spans")
-    return context.pack_passages(found.join(recs.select("record_type", "ref_id", "title", "body", "project_id"), "ref_id").join(qs, "query_id"), 3000, fallback=True)
+    texts = rt.with_records(found, recs.select("record_type", "ref_id", "title", "body", "project_id"), ["ref_id"])
+    return context.pack_passages(texts.join(qs, "query_id"), 3000, fallback=True)
 
 
 @query("eva02_cases")
