@@ -220,8 +220,10 @@ def ret04(spark: SparkSession, sf: str) -> DataFrame:
     """The recall template as an expansion of each query, fused with the query's own channel."""
     qs, recs = d.queries(spark, sf), d.records(spark, sf)
     extra = qs.select("query_id", tx.recall_template(F.col("query")).alias("expansion"))
-    own = rt.substring_channel(recs, rt.query_terms(qs, tx.lexical_terms(F.col("query"))))
-    return rt.fuse([own, *rt.expansions(qs, extra, recs)]).select("query_id", "ref_id", "fused", F.array_join("reasons", ",").alias("reasons"))
+    terms = rt.query_terms(qs, tx.lexical_terms(F.col("query")))
+    hits = rt.lexical_hits(recs, terms.union(rt.expansion_terms(extra)))
+    own = rt.substring_channel(recs, terms, hits, rt.CUT)
+    return rt.fuse([own, *rt.expansions(qs, extra, recs, hits, rt.CUT)]).select("query_id", "ref_id", "fused", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("ret06_session_views")
