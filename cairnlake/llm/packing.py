@@ -14,11 +14,16 @@ Sequence ids are partition * 2^40 + a count, gapless within a partition only.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,60 +31,115 @@ from pyspark.sql import functions as F
 
 WINDOW = 2048
 OPEN = 64
-ENDED = (1).to_bytes(4, "little")
+ENDED = np.array([1], "<u4")
 CACHE_IDS = 500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-# Fixed value: the split pattern of the tokenizer file.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: What the short way takes: no blanks, marks or characters that compose.
-PLAIN = re.compile("[!-~\u00a1-\u024f]+")
+# Fixed value: the split pattern of the tokenizer file; a space ends a run.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\x20")
+#: What the short way leaves: blanks, marks, characters that compose, and what special tokens begin with.
+ODD = re.compile("[^ !-~\u00a1-\u024f]|<\\|")
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: byte -> character of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on.
 BYTE_CHARS = {**{b: chr(b) for b in PRINTABLE}, **{b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in PRINTABLE)}}
+#: Between the ids of two runs; no id has a high byte other than 0, so it is found nowhere else.
+BETWEEN = b"\xff\xff\xff\xff"
+#: Characters of texts whose new runs are looked up together; a longer text is by itself.
+SLICE_CHARS = 4 << 20
+
+
+@lru_cache(1)
+def tokenizer(path: str) -> object:
+    """Read once a worker."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 class Pieces(dict):
     """A lower-case piece -> its token ids, as unsigned 32-bit little-endian bytes."""
 
     def __init__(self, model: object) -> None:
+        super().__init__({" ": BETWEEN})
         self.model = model
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_IDS:
             self.clear()
+            self[" "] = BETWEEN
         text = piece if piece.isascii() else "".join(map(BYTE_CHARS.__getitem__, piece.encode()))
-        ids = self[piece] = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+        tokens = self.model.tokenize(text)
+        ids = self[piece] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
         return ids
 
 
 class Ids(dict):
-    """A run of non-blanks (UTF-8) -> its token ids, as such bytes. The tokenizer drops white space and joins nothing across it.
+    """A run of non-blanks -> its token ids, as such bytes. The tokenizer drops white space and joins nothing across it.
 
-    A plain run is lower-cased and split here and only its pieces go to the model; any other goes to the tokenizer.
+    Plain runs are lower-cased and split here, all new ones of a slice at once, and only their pieces go to the model; any
+    other goes to the tokenizer.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer(path)
         self.pieces = Pieces(self.tokenizer.model)
 
-    def __missing__(self, run: bytes) -> bytes:
-        if len(self) >= CACHE_IDS:
+    def learn(self, runs: list[str]) -> None:
+        new = [*filterfalse(self.__contains__, runs)]
+        if len(self) + len(new) > CACHE_IDS:
             self.clear()
-        word = run.decode("utf-8")
-        plain = word.isprintable() if run.isascii() else PLAIN.fullmatch(word)
-        if plain and "<|" not in word:
-            ids = b"".join(map(self.pieces.__getitem__, PIECES.findall(word.lower())))
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[run] = ids
-        return ids
+            new = runs
+        plain, odd = apart(" ".join(filter(None, new)))
+        if plain:
+            self.update(zip(plain.split(" "), b"".join(map(self.pieces.__getitem__, PIECES.findall(plain.lower()))).split(BETWEEN)))
+        for run in odd:
+            self[run] = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+        self[""] = b""  # beside blanks at a text's ends
+
+    def each(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order, with the end id. The different runs of a slice are looked up once."""
+        for some in slices(texts):
+            split = pc.ascii_split_whitespace(pa.array([t or "" for t in some], pa.string()))
+            coded = split.flatten().dictionary_encode()
+            runs, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+            self.learn(runs)
+            found = [*map(self.__getitem__, runs)]
+            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            n = size[codes]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            at = np.repeat((np.cumsum(size) - size)[codes] - upto[:-1], n) + np.arange(upto[-1])
+            ids, ends = np.frombuffer(b"".join(found), "<u4")[at], upto[split.offsets.to_numpy()]
+            for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                yield np.concatenate([ids[start:end], ENDED])
 
     def of(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join([*map(self.__getitem__, text.encode("utf-8").split()), ENDED]) if text else ENDED, "<u4")
+        return next(self.each([text]))
+
+
+def apart(joined: str) -> tuple[str, list[str]]:
+    """Of runs joined by spaces, the plain ones, joined likewise, and the others."""
+    kept, odd, at = [], [], 0
+    while m := ODD.search(joined, at):
+        start, end = max(at, joined.rfind(" ", at, m.start()) + 1), joined.find(" ", m.end())
+        end = len(joined) if end < 0 else end
+        odd.append(joined[start:end])
+        kept.append(joined[at:start])
+        at = end + 1
+    return "".join([*kept, joined[at:]]).removesuffix(" "), odd
+
+
+def slices(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    some, size = [], 0
+    for t in texts:
+        n = len(t) if t else 0
+        if some and size + n > SLICE_CHARS:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += n
+    if some:
+        yield some
 
 
 class Packer:
@@ -150,8 +210,7 @@ def packed(batches: Iterable[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]
 
     for pdf in batches:
         done: list[tuple] = []
-        for doc, text in zip(pdf["doc_id"], pdf["text"]):
-            ids = ids_of.of(text)
+        for doc, ids in zip(pdf["doc_id"], ids_of.each(pdf["text"])):
             serial += 1
             held[serial] = [None if pd.isna(doc) else int(doc), ids, len(ids)]
             for pieces in packer.add(serial, len(ids)):

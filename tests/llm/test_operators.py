@@ -429,6 +429,23 @@ def test_token_ids_equal_the_tokenizer():
         assert ids.of(text).tolist() == [*ids.tokenizer.encode(text, add_special_tokens=False).ids, 1], text
 
 
+@pytest.mark.parametrize("most", [500_000, 40])
+def test_new_runs_of_a_slice_go_together(monkeypatch, most):
+    """All plain runs of a slice are split at once, each of them only once, whatever the size of caches and slices."""
+    monkeypatch.setattr(packing, "CACHE_IDS", most)
+    monkeypatch.setattr(packing, "SLICE_CHARS", 3000)
+    split = []
+    monkeypatch.setattr(packing, "PIECES", type("Counted", (), {"findall": staticmethod(lambda text, f=packing.PIECES.findall: split.append(text) or f(text))}))
+    rng = random.Random(9)
+    words = ["Ab,", "don't", "x" * 40, "É́", "<|endoftext|>", "中文", "İx", "a\x1cb", *(f"w{i}." for i in range(300))]
+    texts = [None, "", " ", "\n a  b\r\n", *("".join(rng.choice(words) + rng.choice(" \t\n\x0b\x0c\r") * rng.randrange(1, 3) for _ in range(200)) for _ in range(30))]
+    ids = packing.Ids(tokenizer_path())
+    got = [x.tolist() for x in ids.each(texts)]
+    assert got == [[*ids.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert len(split) <= 30 and (most == 40 or max(collections.Counter(" ".join(split).split()).values()) == 1)
+    assert packing.Ids(tokenizer_path()).tokenizer is ids.tokenizer
+
+
 def test_language(spark):
     say = {"en": "the quick brown fox jumps over the lazy dog and then it runs away from the house with that bone", "de": "der schnelle braune fuchs springt über den faulen hund und läuft dann mit dem knochen aus dem haus", "fr": "le renard brun saute par dessus le chien paresseux et puis il quitte la maison avec cet os"}
     rng = random.Random(4)
